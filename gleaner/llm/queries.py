@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, secrets, sharding, topk, url_filter
+import corpus_pipeline
+
+from . import contamination, mixing, ngram_join, secrets, sharding, topk, toxicity, url_filter
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,6 +43,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op3_secret_scan, op4_ngram_join, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
+}
 
 ORACLE: dict[str, str] = {}
