@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import contamination, mixing, ngram_join, secrets, sharding, topk, toxicity, url_filter
+from . import contamination, mixing, ngram_join, passages, secrets, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op3_secret_scan, op4_ngram_join, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
+    for f in (op1_toxicity, op2_repeated_passages, op3_secret_scan, op4_ngram_join, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
