@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import contamination, mixing, ngram_join, passages, secrets, sharding, topk, toxicity, url_filter
+from . import contamination, lines, mixing, ngram_join, passages, secrets, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_repeated_passages, op3_secret_scan, op4_ngram_join, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
+    for f in (op1_toxicity, op2_repeated_passages, op3_secret_scan, op4_ngram_join, op5_line_dedup, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
