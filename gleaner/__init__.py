@@ -1 +1,8 @@
 """Crawl, index and search analytics as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have the package installed: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
