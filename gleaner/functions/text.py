@@ -81,9 +81,15 @@ def _batch(ids: list, terms: list, tfs: list, positions: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "tf", "positions"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions, as one small file does; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term, tf, positions), one row for each term of each document.
 
     A document's tokens lie in one row, so its postings are made there, in Arrow batches with a memo of stems: nothing is
     shuffled, where exploding tokens, joining stems and grouping again would move every token of the corpus twice."""
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_postings, POSTINGS)
+    return spread(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_postings, POSTINGS)

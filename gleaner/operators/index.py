@@ -7,6 +7,7 @@ is in docs, counts in the statistics and has no postings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,11 +57,12 @@ class Index:
     postings: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame) -> Index:
-        """docs: doc_id, url, title, text; absent columns are empty."""
+    def build(cls, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+        """docs: doc_id, url, title, text; absent columns are empty. keep: stores the postings and gives them back, so that
+        lengths and searches do not analyse the texts again."""
         have = set(docs.columns)
         docs = docs.withColumns({c: F.lit("") for c in ("url", "title") if c not in have})
-        posted = postings(docs.select("doc_id", combined_text(F.col("title"), F.col("text")).alias("text")))
+        posted = keep(postings(docs.select("doc_id", combined_text(F.col("title"), F.col("text")).alias("text"))))
         lengths = doc_lengths(docs, posted)
         return cls(docs.select("doc_id", "url", "title", "text").join(lengths, "doc_id"), posted)
 

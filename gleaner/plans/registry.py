@@ -133,8 +133,12 @@ SEARCHES = {
 }
 
 
+def _stored_postings(spark, sf_dir):
+    return stored(_posted(spark, sf_dir), "postings")
+
+
 def _search(spark, sf_dir, asked):
-    posted = _posted(spark, sf_dir)
+    posted = _stored_postings(spark, sf_dir)
     return search.rank_documents(posted, index.doc_lengths(_documents(spark, sf_dir), posted), *asked)
 
 
@@ -148,14 +152,14 @@ BATCH = [(1, "tion"), (2, "thon erin"), (3, '"anea eriner"'), (4, "quer OR outr"
 
 @query(sql.batch(BATCH))
 def search_batch(spark, sf_dir):
-    posted = _posted(spark, sf_dir)
+    posted = _stored_postings(spark, sf_dir)
     return search.rank_batch(posted, index.doc_lengths(_documents(spark, sf_dir), posted), BATCH)
 
 
 @query(sql.snippets("quer outr"))
 def snippets(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return search.search(index.Index.build(docs), "quer outr").select("doc_id", "snippet")
+    return search.search(index.Index.build(docs, partial(stored, label="postings")), "quer outr").select("doc_id", "snippet")
 
 
 @query(f"WITH {sql.index()} SELECT doc_id, length AS score FROM len ORDER BY length DESC, doc_id LIMIT 25")
@@ -206,7 +210,7 @@ PAGE_QUERY = "erin OR ment"
 @query(sql.search(PAGE_QUERY, before=f"{sql.PAGES}, pgt AS (SELECT page_id AS doc_id, url, title, CASE WHEN title <> '' THEN concat(title, ' ', text) ELSE text END AS body FROM pg), ", source="pgt", text="body", hits_only=True) + " SELECT h.rank, g.url, g.title, h.score FROM hits h JOIN pgt g ON g.doc_id = h.doc_id")
 def pages_search(spark, sf_dir):
     docs = _pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), "url", "title", "text")
-    return search.search(index.Index.build(docs), PAGE_QUERY).select("rank", "url", "title", "score")
+    return search.search(index.Index.build(docs, partial(stored, label="postings")), PAGE_QUERY).select("rank", "url", "title", "score")
 
 
 @query(f"WITH {sql.LINKS} SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT url FROM pg)")
@@ -466,13 +470,13 @@ def metrics_text(spark, sf_dir):
 @query(ORACLE["postings"])
 def store_roundtrip(spark, sf_dir):
     store = Store(spark, new_path(spark, "store"))
-    store.save(index.Index.build(_documents(spark, sf_dir)))
+    store.save(index.Index.build(_documents(spark, sf_dir), partial(stored, label="postings")))
     return store.load().postings.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 @query(f"WITH {sql.index()} SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'terms', count(DISTINCT term) FROM p UNION ALL SELECT 'postings', count(*) FROM p")
 def store_counts(spark, sf_dir):
-    return counts(index.Index.build(_documents(spark, sf_dir)))
+    return counts(index.Index.build(_documents(spark, sf_dir), partial(stored, label="postings")))
 
 
 @query(f"""WITH up AS (SELECT row_number() OVER (ORDER BY doc_id) AS doc_id, concat('u', doc_id) AS url, CASE WHEN doc_id >= 300 THEN concat(text, ' zebra zebras') ELSE text END AS text FROM documents WHERE doc_id < 700), {sql.index('up')}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from gleaner.operators.dedup import digest
 from gleaner.operators.index import Index, assign_ids, doc_frequency
 
+from .scratch import stored
+
 DOCS = "doc_id bigint, url string, title string, text string, length bigint, content_hash string, fetched_at timestamp"
 POSTINGS = "doc_id bigint, term string, tf int, positions array<int>"
 POINTER = "docs string, postings string, version bigint"
@@ -63,7 +66,7 @@ class Store:
 
     def append(self, docs: DataFrame, order: str) -> None:
         """docs (url, title, text): new ids after those of the store, whatever their URLs."""
-        new = Index.build(assign_ids(docs, order, self.next_id() - 1))
+        new = Index.build(stored(assign_ids(docs, order, self.next_id() - 1), "docs"), partial(stored, label="postings"))
         old = self.load()
         self._write(old.docs.unionByName(self._stamped(new.docs)), old.postings.unionByName(new.postings))
 
@@ -74,7 +77,8 @@ class Store:
         last = docs.groupBy("url").agg(F.max_by(F.struct("title", "text", order), order).alias("d")).select("url", "d.*")
         known = last.join(old.docs.select("url", "doc_id"), "url")
         fresh = assign_ids(last.join(old.docs.select("url"), "url", "left_anti"), order, self.next_id() - 1)
-        new = Index.build(known.select("doc_id", "url", "title", "text").unionByName(fresh.select("doc_id", "url", "title", "text")))
+        new = known.select("doc_id", "url", "title", "text").unionByName(fresh.select("doc_id", "url", "title", "text"))
+        new = Index.build(stored(new, "docs"), partial(stored, label="postings"))
         gone = known.select("doc_id")
         self._write(
             old.docs.join(gone, "doc_id", "left_anti").unionByName(self._stamped(new.docs)),
