@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import contamination, lines, mixing, ngram_join, passages, secrets, sharding, topk, toxicity, url_filter
+from . import contamination, lines, mixing, ngram_join, oracle, passages, secrets, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -28,7 +28,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove(table(spark, sf_dir, "documents"))
+    return lines.remove(table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,11 @@ QUERIES = {
     for f in (op1_toxicity, op2_repeated_passages, op3_secret_scan, op4_ngram_join, op5_line_dedup, op6_sharding, op7_decontamination, op8_url_filter, op9_topk_search, op10_source_mixing, pipeline)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_ngram_join": oracle.NGRAM_JOIN,
+    "op5_line_dedup": oracle.LINE_DEDUP,
+    "op7_decontamination": oracle.DECONTAMINATION,
+    "op8_url_filter": oracle.url_filter_sql(),
+    "op9_topk_search": oracle.TOPK,
+    "op10_source_mixing": oracle.mixing_sql(),
+}
