@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import combined_text, postings
+from gleaner.sources.scratch import stored
 
 
 def doc_lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:
@@ -43,14 +44,23 @@ def assign_ids(docs: DataFrame, order: str, start: int = 0, id_column: str = "do
 
     A range partitioning gives each partition its share of the order; ranks within partitions and the partitions' first
     numbers make the ids, so that no task sees all rows."""
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = docs.repartitionByRange(int(n), F.col(order)).withColumn("_part", F.spark_partition_id())
+    dealt, starts = in_ranges(docs, order)
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(first), F.lit(0))).drop("_n")
     return ranked.join(F.broadcast(starts), "_part").withColumn(id_column, F.col("_start") + F.col("_rank") + start).drop("_part", "_rank", "_start")
 
 
+def in_ranges(df: DataFrame, order: str, amount: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with _part, in ranges of ``order``; and _part, _start: the amount, one for each row, before each range).
+
+    The rows are stored with their range, as bounds come from samples and a second run may draw others. The starts are a
+    row for each partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_part").agg(F.sum(F.lit(1) if amount is None else amount).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt, sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+
+
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import in_ranges
+
 # Default bounds of a latency histogram, in seconds.
 BOUNDS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -30,11 +32,12 @@ def gauges(events: DataFrame, name: str, value: str, at: str) -> DataFrame:
 def percentile_exclusive(values: DataFrame, column: str, percents: tuple[int, ...]) -> DataFrame:
     """(percent, value) by the exclusive rank p (n + 1) / 100, clamped, with linear interpolation.
 
-    Values are counted first; ranks run over the distinct values, which range partitions sort."""
+    Values are counted first; ranks run over the distinct values, which lie in sorted ranges."""
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts, starts = in_ranges(counts, "v", F.col("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    ranked = counts.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n") + 1)
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("v"))
+    ranked = counts.withColumn("hi", upto).join(F.broadcast(starts), "_part").withColumn("hi", F.col("hi") + F.col("_start")).withColumn("lo", F.col("hi") - F.col("n") + 1)
     want = total.select("total", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
     want = want.withColumn("r", F.least(F.greatest(F.col("percent") * (F.col("total") + 1) / 100.0, F.lit(1.0)), F.col("total").cast("double")))
     want = want.withColumns({"a": F.floor("r"), "b": F.ceil("r")})

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def texts_of(fetches: DataFrame) -> DataFrame:
+    """fetches (host, status, body) of robots.txt -> (host, robots_txt): one that was not found or not reached (null) says
+    nothing, so its host is open."""
+    return fetches.select("host", F.when((F.col("status") < 400) & F.col("body").isNotNull(), F.col("body")).otherwise("").alias("robots_txt"))
+
+
 def lines(texts: DataFrame) -> DataFrame:
     """(host, robots_txt) -> (host, line_no, field, value, is_agent): lines that say something."""
     raw = texts.select("host", F.posexplode(F.split("robots_txt", r"\r\n|\r|\n")).alias("line_no", "line"))
@@ -59,3 +68,49 @@ def can_fetch(urls: DataFrame, robot_rules: DataFrame) -> DataFrame:
     matched = urls.select("host", "path").distinct().join(robot_rules, "host").where(F.rlike("path", F.col("regex")))
     verdict = matched.groupBy("host", "path").agg(F.max_by("allow", F.struct("length", "allow")).alias("allowed"))
     return urls.join(verdict, ["host", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """One host's rules, for fetchers: (allow, length of the pattern, expression) each."""
+
+    rules: tuple[tuple[bool, int, re.Pattern], ...] = ()
+    crawl_delay: float | None = None
+
+    def can_fetch(self, path: str) -> bool:
+        return max(((n, allow) for allow, n, regex in self.rules if regex.match(path)), default=(0, True))[1]
+
+
+def parse(text: str, user_agent: str) -> Rules:
+    """The rules for us in one robots.txt; the same choice as ``chosen_groups``."""
+    found: list[tuple[list[str], list[tuple[str, str]]]] = []
+    agents_open = False
+    for line in text.splitlines():
+        name, colon, value = (x.strip() for x in line.partition("#")[0].partition(":"))
+        if not colon:
+            continue
+        if name.lower() == "user-agent":
+            if not agents_open:
+                found.append(([], []))
+            found[-1][0].append(value.lower())
+        elif found:
+            found[-1][1].append((name.lower(), value))
+        agents_open = name.lower() == "user-agent"
+    own = [(len(a), -i) for i, (agents, _) in enumerate(found) for a in agents if a != "*" and a in user_agent.lower()]
+    star = [i for i, (agents, _) in enumerate(found) if "*" in agents]
+    if not own and not star:
+        return Rules()
+    said = found[-max(own)[1] if own else star[-1]][1]
+    delay = None
+    for name, value in said:
+        if name == "crawl-delay":
+            try:
+                delay = float(value)
+            except ValueError:
+                pass
+    return Rules(tuple((name == "allow", len(v), _regex(v)) for name, v in said if name in ("allow", "disallow") and v), delay)
+
+
+def _regex(pattern: str) -> re.Pattern:
+    body = ".*".join(map(re.escape, pattern.removesuffix("$").split("*")))
+    return re.compile(body + (r"\Z" if pattern.endswith("$") else ""), re.DOTALL)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from gleaner.functions.urls import canonicalize, host
 from gleaner.operators.crawl import MAX_REDIRECTS, REDIRECTS, RETRYABLE
+from gleaner.operators.robots import Rules, parse
 
 from .settings import Settings
 
@@ -93,19 +94,40 @@ def fetch_with_retry(url: str, settings: Settings, pause: Callable[[float], None
     return {**got, "outcome": "error", "retries": settings.max_retries}
 
 
+class RobotsCache:
+    """Each site's robots.txt, asked for once; one that is missing or not reached allows all."""
+
+    def __init__(self, settings: Settings, ask: Callable[[str, Settings], Answer] = get) -> None:
+        self._settings, self._ask = settings, ask
+        self._rules: dict[tuple[str, str], Rules] = {}
+
+    def allows(self, url: str) -> bool:
+        at = urlsplit(url)
+        site = (at.scheme, at.netloc)
+        if site not in self._rules:
+            try:
+                answer = self._ask(f"{at.scheme}://{at.netloc}/robots.txt", self._settings)
+                self._rules[site] = parse(answer.body.decode("utf-8", "replace"), self._settings.user_agent) if answer.status < 400 else Rules()
+            except FetchError:
+                self._rules[site] = Rules()
+        return self._rules[site].can_fetch((at.path or "/") + (f"?{at.query}" if at.query else ""))
+
+
 FETCHED = "requested string, url string, status int, content_type string, body string, outcome string, retries int"
 
 
 def fetch_urls(urls: DataFrame, settings: Settings, ask: Callable[[str, Settings], Answer] = get) -> DataFrame:
-    """urls (url) -> FETCHED. A host's pages are fetched one after another, ``per_host_delay_s`` apart."""
+    """urls (url) -> FETCHED. A host's pages are fetched one after another, ``per_host_delay_s`` apart, as its robots.txt
+    allows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ended: dict[str, float] = {}
+        robots = RobotsCache(settings, ask)
         for batch in batches:
             out = []
             for url, h in zip(batch["url"], batch["host"], strict=True):
                 time.sleep(max(0.0, ended.get(h, 0.0) + settings.per_host_delay_s - time.monotonic()) if h in ended else 0.0)
-                out.append({"requested": url, **fetch_with_retry(url, settings, ask=ask)})
+                out.append({"requested": url, **fetch_with_retry(url, settings, allowed=robots.allows, ask=ask)})
                 ended[h] = time.monotonic()
             yield pd.DataFrame(out, columns=["requested", "url", "status", "content_type", "body", "outcome", "retries"]).astype({"status": "Int32"})
 

@@ -56,6 +56,13 @@ def test_robots(spark, said, agent, path, allowed, delay):
     assert got == {"h": allowed, "other": True}
     row = robots.crawl_delays(texts, agent).first()
     assert (row["crawl_delay"] if row else None) == delay
+    single = robots.parse(said, agent)
+    assert (single.can_fetch(path), single.crawl_delay) == (allowed, delay)
+
+
+def test_robots_fetches(spark):
+    rows = spark.createDataFrame([("a", 200, "x"), ("b", 404, "x"), ("c", None, None)], "host string, status int, body string")
+    assert {r["host"]: r["robots_txt"] for r in robots.texts_of(rows).collect()} == {"a": "x", "b": "", "c": ""}
 
 
 def test_frontier_events():

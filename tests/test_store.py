@@ -94,8 +94,9 @@ def test_fetch(spark):
     got = fetch_with_retry("http://s/f", settings, pause=lambda _: None, ask=lambda *_: Answer(next(tries), {}, b""))
     assert (got["outcome"], got["retries"]) == ("fetched", 2)
     assert fetch_with_retry("http://s/out", settings, ask=answers())["outcome"] == "disallowed"
-    rows = fetch_urls(spark.createDataFrame([("http://s/",), ("http://s/none",)], "url string"), settings, ask=answers()).collect()
-    assert {r["requested"]: r["outcome"] for r in rows} == {"http://s/": "fetched", "http://s/none": "error"}
+    said = {"robots.txt": Answer(200, {}, b"User-agent: *\nDisallow: /private")}
+    rows = fetch_urls(spark.createDataFrame([("http://s/",), ("http://s/none",), ("http://s/private/x",)], "url string"), settings, ask=answers(**said)).collect()
+    assert {r["requested"]: r["outcome"] for r in rows} == {"http://s/": "fetched", "http://s/none": "error", "http://s/private/x": "disallowed"}
 
 
 def test_service(spark, tmp_path):
