@@ -91,6 +91,15 @@ def test_frontier_politeness():
     assert f.pop_ready(7.0)[0] == "http://a/2"
 
 
+def test_frontier_replay(spark):
+    steps = [("add", "http://a/1", None, 0, 0.0), ("add", "http://a/2", None, 0, 0.0), ("add", "http://A/1", None, 0, 0.0), ("pop", None, None, 0, 0.0), ("pop", None, None, 0, 0.0),
+             ("done", None, "a", 0, 1.0), ("wait", None, None, 0, 2.0), ("pop", None, None, 0, 3.0)]
+    rows = [(c, i, *s) for c in (1, 2) for i, s in enumerate(steps)]
+    events = spark.createDataFrame(rows, "crawl_id bigint, seq bigint, op string, url string, host string, depth int, now double")
+    got = frontier.replay(events, delay=2.0).orderBy("crawl_id", "seq").collect()
+    assert [r["result"] for r in got] == 2 * ["true", "true", "false", "http://a/1", None, None, "1", "http://a/2"]
+
+
 def test_frontier_tables(spark):
     rows = [("u1", "a", 0, 1), ("u2", "a", 0, 2), ("u3", "b", 12, 3), ("u4", "a", 0, 4)]
     own = spark.createDataFrame(rows, "url string, host string, depth int, seq int")
