@@ -240,14 +240,15 @@ def assign_doc_ids(spark, sf_dir):
     return index.assign_ids(kept, "doc_id", id_column="new_id").select("doc_id", "new_id")
 
 
-BLOOM = dedup.BloomSize.of(100, 0.05)
-_MEMBERS = f"(SELECT DISTINCT {sql.canonical('url')} AS url FROM pages WHERE page_id % 2 = 0)"
-_PROBES = f"(SELECT DISTINCT {sql.canonical('url')} AS url FROM pages)"
+BLOOM = dedup.BloomSize.of(250, 0.05)
+_MEMBERS = f"(SELECT DISTINCT {sql.canonical('url')} AS url FROM pages)"
+_PROBES = "(SELECT DISTINCT url FROM links)"
 
 
 def _bloom_urls(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
-    return own.where("page_id % 2 = 0").select("url").distinct(), own.select("url").distinct()
+    """All pages' URLs, and all links."""
+    own = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url"))
+    return own.distinct(), _pages(spark, sf_dir).select(F.explode("links").alias("url")).distinct()
 
 
 @query(f"SELECT url, CAST(unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS BIGINT) AS p FROM {_MEMBERS}")
@@ -262,13 +263,13 @@ def bloom_build(spark, sf_dir):
     return bloom.set_bits().crossJoin(bloom.added)
 
 
-@query(f"""WITH b AS (SELECT DISTINCT unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM {_MEMBERS}),
-  x AS (SELECT url, unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM {_PROBES}),
+@query(f"""WITH {sql.LINKS}, b AS (SELECT DISTINCT unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM {_MEMBERS}),
+  x AS (SELECT url, unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM (SELECT url FROM {_PROBES} UNION SELECT url FROM {_MEMBERS})),
   v AS (SELECT url, bool_and(p IN (SELECT p FROM b)) AS maybe FROM x GROUP BY url)
   SELECT count(*) AS probes, count(*) FILTER (maybe AND NOT member) AS false_positives, count(*) FILTER (member AND NOT maybe) AS false_negatives FROM (SELECT v.*, url IN (SELECT url FROM {_MEMBERS}) AS member FROM v)""")
 def bloom_fpr(spark, sf_dir):
     members, probes = _bloom_urls(spark, sf_dir)
-    found = dedup.Bloom.build(members, "url", BLOOM).probe(probes, "url").join(members.withColumn("member", F.lit(True)), "url", "left")
+    found = dedup.Bloom.build(members, "url", BLOOM).probe(probes.union(members).distinct(), "url").join(members.withColumn("member", F.lit(True)), "url", "left")
     member = F.col("member").isNotNull()
     return found.agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("maybe") & ~member).alias("false_positives"), F.count_if(member & ~F.col("maybe")).alias("false_negatives"))
 
@@ -367,7 +368,7 @@ def frontier_stats(spark, sf_dir):
     return frontier.stats(_frontier(spark, sf_dir))
 
 
-_SEEDS = "SELECT DISTINCT url FROM pg WHERE page_id < 40"
+_SEEDS = "SELECT DISTINCT url FROM pg"
 
 
 def _crawl(spark, sf_dir):
@@ -376,7 +377,7 @@ def _crawl(spark, sf_dir):
     status = F.when(F.col("page_id") % 10 == 3, 503).when(F.col("page_id") % 10 == 7, 404).otherwise(200)
     web = web.select("url", status.alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), "body")
     texts = pages.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /de/\n"))
-    seeds = pages.where("page_id < 40").select("url")
+    seeds = pages.select("url")
     return crawl.crawl(seeds, web, crawl.CrawlLimits(max_depth=1), lambda level, depth: stored(level, f"crawl-{depth}"), texts)
 
 
@@ -407,24 +408,24 @@ def index_stats(spark, sf_dir):
 _STATUS = "CASE WHEN (doc_id * 7 + a * 3) % 5 < 2 THEN 503 WHEN (doc_id + a) % 17 = 0 THEN 404 ELSE 200 END"
 
 
-@query(f"""WITH r AS (SELECT concat('u', doc_id) AS url, CAST(a AS INTEGER) AS attempt, {_STATUS} AS status FROM documents CROSS JOIN (SELECT unnest(range(5)) AS a) WHERE doc_id % 4 = 0),
+@query(f"""WITH r AS (SELECT concat('u', doc_id) AS url, CAST(a AS INTEGER) AS attempt, {_STATUS} AS status FROM documents CROSS JOIN (SELECT unnest(range(5)) AS a)),
   f AS (SELECT url, min(struct_pack(attempt := attempt, status := status)) FILTER (status <> 503) AS f, max(struct_pack(attempt := attempt, status := status)) AS l FROM r WHERE attempt <= 3 GROUP BY url)
   SELECT url, CAST(coalesce(f, l).status AS INTEGER) AS status, CAST(coalesce(f, l).attempt + 1 AS INTEGER) AS attempts, CAST(coalesce(f, l).attempt AS INTEGER) AS retries, CASE WHEN f.status = 200 THEN 'ok' ELSE 'error' END AS outcome FROM f""")
 def retry_outcome(spark, sf_dir):
-    rows = _documents(spark, sf_dir).where("doc_id % 4 = 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("a"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("a"))
     return crawl.retry_outcome(rows.selectExpr("concat('u', doc_id) AS url", "a AS attempt", f"{_STATUS} AS status"), 3)
 
 
-@query("""WITH RECURSIVE w AS (SELECT concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url, doc_id, CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status, CASE WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location FROM documents WHERE doc_id < 1000),
-  hop AS (SELECT url AS requested, url, 0 AS hops FROM w WHERE doc_id % 3 = 0 UNION ALL SELECT hop.requested, w.location, hop.hops + 1 FROM hop JOIN w ON w.url = hop.url WHERE w.status = 302 AND hop.hops < 5)
+@query("""WITH RECURSIVE w AS (SELECT concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url, doc_id, CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status, CASE WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location FROM documents),
+  hop AS (SELECT url AS requested, url, 0 AS hops FROM w UNION ALL SELECT hop.requested, w.location, hop.hops + 1 FROM hop JOIN w ON w.url = hop.url WHERE w.status = 302 AND hop.hops < 5)
   SELECT hop.requested, hop.url, CAST(hop.hops AS INTEGER) AS hops, CAST(w.status AS INTEGER) AS status, CASE WHEN w.status IS NULL THEN 'error' WHEN w.status = 302 THEN 'too_many_redirects' ELSE 'fetched' END AS outcome
   FROM hop LEFT JOIN w ON w.url = hop.url WHERE coalesce(w.status, 0) <> 302 OR hop.hops = 5""")
 def redirect_chase(spark, sf_dir):
-    web = _documents(spark, sf_dir).where("doc_id < 1000").selectExpr(
+    web = _documents(spark, sf_dir).selectExpr(
         "doc_id", "concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url", "CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status", "'text/html' AS content_type", "'' AS body",
         "CASE WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location",
     )
-    return crawl.chase_redirects(web.where("doc_id % 3 = 0").select("url"), web).select("requested", "url", "hops", "status", "outcome")
+    return crawl.chase_redirects(web.select("url"), web).select("requested", "url", "hops", "status", "outcome")
 
 
 @query("SELECT DISTINCT CAST(s AS INTEGER) AS status, CASE WHEN s BETWEEN 200 AND 299 THEN 'ok' WHEN s IN (429, 500, 502, 503, 504) THEN 'retry' ELSE 'error' END AS class FROM (SELECT 200 + (doc_id * 37) % 330 AS s FROM documents)")
@@ -479,13 +480,15 @@ def store_counts(spark, sf_dir):
     return counts(index.Index.build(_documents(spark, sf_dir), partial(stored, label="postings")))
 
 
-@query(f"""WITH up AS (SELECT row_number() OVER (ORDER BY doc_id) AS doc_id, concat('u', doc_id) AS url, CASE WHEN doc_id >= 300 THEN concat(text, ' zebra zebras') ELSE text END AS text FROM documents WHERE doc_id < 700), {sql.index('up')}
+@query(f"""WITH k AS (SELECT doc_id AS k, text, false AS again FROM documents UNION ALL SELECT doc_id + 300, concat(text, ' zebra zebras'), true FROM documents),
+  up AS (SELECT row_number() OVER (ORDER BY k) AS doc_id, concat('u', k) AS url, text FROM (SELECT k, arg_max(text, again) AS text FROM k GROUP BY k)), {sql.index('up')}
   SELECT up.doc_id, up.url, len.length, CAST(coalesce(p.tf, 0) AS INTEGER) AS zebras FROM up JOIN len ON len.doc_id = up.doc_id LEFT JOIN p ON p.doc_id = up.doc_id AND p.term = 'zebra'""")
 def upsert_documents(spark, sf_dir):
+    """All documents as u0, u1, ...; then all again, changed, 300 places on: most replace one, the last 300 are new."""
     store = Store(spark, new_path(spark, "store"))
     rows = _documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.concat(F.lit("u"), "doc_id").alias("url"), F.lit("").alias("title"), "text")
-    store.append(rows.where("seq < 500"), "seq")
-    store.upsert(rows.where("seq >= 300 AND seq < 700").withColumn("text", F.concat("text", F.lit(" zebra zebras"))), "seq")
+    store.append(rows, "seq")
+    store.upsert(rows.withColumns({"url": F.concat(F.lit("u"), F.col("seq") + 300), "text": F.concat("text", F.lit(" zebra zebras"))}), "seq")
     now = store.load()
     zebras = now.postings.where("term = 'zebra'").select("doc_id", F.col("tf").alias("zebras"))
     return now.docs.join(zebras, "doc_id", "left").select("doc_id", "url", "length", F.coalesce("zebras", F.lit(0)).alias("zebras"))
