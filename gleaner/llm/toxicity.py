@@ -4,7 +4,7 @@ A word enters as the end states of a bidirectional GRU over its characters, besi
 words of the fit. A bidirectional GRU runs over the words of a window; attention pools its states; a logistic unit scores
 the window. A text is scored over all of its overlapping windows (``window`` words, every ``stride``), and its score is
 that of its worst window. Texts are scored whole, wherever they lie, without a shuffle; word vectors are computed once for
-each distinct word of a part.
+each distinct word of a task.
 
 The fit is on a bounded sample of labelled rows (``sample``: at most so many of either label, of at most ``longest``
 characters, the first by a hash of doc_id), in ``rounds`` of multiple-instance training: each text stands with its worst
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .shingles import parts
 
 CUT = 0.7
-_WORD = re.compile(r"[^\W_]+")
+#: a longer run of letters and digits comes as several words
+_WORD = re.compile(r"[^\W_]{1,24}")
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,6 @@ class ToxicParams:
     steps: int = 60
     batch: int = 128
     rate: float = 0.012
-    longest_word: int = 24
     seed: int = 11
 
 
@@ -107,6 +108,27 @@ def gru_back(d_out: np.ndarray, u: np.ndarray, mask: np.ndarray, saved: list):
     return d_in, d_u
 
 
+class Memo:
+    """Numbers and projected inputs of words, each computed once; it starts anew beyond ``most`` words."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        self.most = most
+        self.number: dict[str, int] = {}
+        self._held: tuple[np.ndarray, np.ndarray] | None = None
+
+    def tables(self, net: Network) -> tuple[np.ndarray, np.ndarray]:
+        """Of all words numbered so far; row 0 stands for no word."""
+        known = 0 if self._held is None else len(self._held[0]) - 1
+        if len(self.number) > known or self._held is None:
+            new = net.word_inputs(list(islice(self.number, known, None)))
+            self._held = new if self._held is None else tuple(np.concatenate((a, b[1:])) for a, b in zip(self._held, new, strict=True))
+        return self._held
+
+    def room(self) -> None:
+        if len(self.number) > self.most:
+            self.number, self._held = {}, None
+
+
 class Network:
     def __init__(self, p: ToxicParams, vocabulary: list[str], letters: list[str]) -> None:
         self.p = p
@@ -133,10 +155,9 @@ class Network:
     # words -> vectors
 
     def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters (steps, words), padded with 0, and word numbers; a long word is spelled by its two ends."""
-        most = self.p.longest_word
+        """Letters (steps, words), padded with 0, and word numbers."""
         letters = self.letter_no
-        rows = [[letters.get(c, len(letters) + 1) for c in (w if len(w) <= most else w[: most // 2] + w[-most // 2 :])] for w in words]
+        rows = [[letters.get(c, len(letters) + 1) for c in w] for w in words]
         out = np.zeros((max(map(len, rows), default=1) or 1, len(rows)), np.int32)
         for i, r in enumerate(rows):
             out[: len(r), i] = r
@@ -247,11 +268,12 @@ class Network:
 
     # texts
 
-    def logits(self, texts: list[str], pick: bool = False):
-        """The worst window's logit of each text; with ``pick`` also its words."""
-        number: dict[str, int] = {}
+    def logits(self, texts: list[str], pick: bool = False, memo: Memo | None = None):
+        """The worst window's logit of each text; with ``pick`` also its words. memo: words met before, of this network."""
+        memo = Memo() if memo is None else memo
+        number = memo.number
         split = [[number.setdefault(x, len(number) + 1) for x in _WORD.findall(t.lower())] for t in texts]
-        tables = self.word_inputs(list(number))
+        tables = memo.tables(self)
         window, stride = self.p.window, self.p.stride
         rows, owner = [], []
         for i, s in enumerate(split):
@@ -367,12 +389,13 @@ def _bare(net: Network | None) -> Network | None:
     return net
 
 
-def score_batch(net: Network | None, texts: pa.Array) -> np.ndarray:
+def score_batch(net: Network | None, texts: pa.Array, memo: Memo) -> np.ndarray:
     out = np.zeros(len(texts))
     if net is None:
         return out
     for first, part in parts(texts, 1 << 20):
-        out[first : first + len(part)] = net.scores(net.logits([t or "" for t in part.to_pylist()]))
+        out[first : first + len(part)] = net.scores(net.logits([t or "" for t in part.to_pylist()], memo=memo))
+        memo.room()
     return out
 
 
@@ -381,8 +404,9 @@ def score(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) ->
     held = docs.sparkSession.sparkContext.broadcast(_bare(learned(docs, labels, p)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for batch in batches:
-            s = score_batch(held.value, batch.column("text"))
+            s = score_batch(held.value, batch.column("text"), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
@@ -395,7 +419,8 @@ def remove(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) -
     place = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for batch in batches:
-            yield batch.filter(pa.array(score_batch(held.value, batch.column(place)) < CUT))
+            yield batch.filter(pa.array(score_batch(held.value, batch.column(place), memo) < CUT))
 
     return docs.mapInArrow(run, docs.schema)
