@@ -39,7 +39,7 @@ from .shingles import _BASE, _BYTE, _INVERSE, as_bytes, mixed, parts, powers
 LENGTH = 400
 GRAM = 64
 STEP = 32
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 
 _tables: list[np.ndarray] = []
 

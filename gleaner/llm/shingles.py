@@ -60,8 +60,8 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of some ``size`` bytes each; a longer text is a part of its own."""
+def parts(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of some ``size`` bytes each, which the processor's cache holds; a longer text is a part of its own."""
     if not len(column):
         return
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -74,8 +74,8 @@ def parts(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, pa.Array
     yield start, column.slice(start)
 
 
-def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of all words, the n + 1 offsets of the rows in them, and (bytes, first, end) of the words."""
+def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Hashes of all words, the n + 1 offsets of the rows in them, and (bytes, first, end, rows' offsets in the bytes)."""
     data, offsets = as_bytes(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")) if lower else column)
     space = np.ones(len(data) + 2, dtype=bool)
     space[1:-1] = _SPACE[data]
@@ -86,13 +86,17 @@ def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     end = np.flatnonzero(inside[1:-1] & (space[2:] | cut[1:])) + 1
     inner = _INNER[data] & inside[1:-1]
     at = np.flatnonzero(inner)
-    upto = np.concatenate(([0], np.cumsum(inner)))
+    upto = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(inner, out=upto[1:])
     some = upto[end] > upto[first]
     if len(at):
         first, end = np.where(some, at[np.minimum(upto[first], len(at) - 1)], first), np.where(some, at[np.maximum(upto[end] - 1, 0)] + 1, end)
     base, inverse = _tables(len(data) + 1)[:2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * base[: len(data)])))
-    return mixed((sums[end] - sums[first]) * inverse[first]), np.searchsorted(first, offsets), (data, first, end)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    value = _BYTE.take(data)
+    value *= base[: len(data)]
+    np.cumsum(value, out=sums[1:])
+    return mixed((sums[end] - sums[first]) * inverse[first]), np.searchsorted(first, offsets), (data, first, end, offsets)
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
