@@ -6,7 +6,8 @@ one by one, the largest first, to the shard where the dot product with the shard
 What is packed is bounded whatever the input's size: groups of at least 1 / ``heavy`` of any total are packed as they are
 (at most 3 * heavy can be), the rest by hash in ``bundles`` bundles of whole groups. A group too large to be placed whole
 without upsetting the balance (over 1 / ``whole`` of a total, an eighth of a shard) is split by doc_id into pieces.
-Packing ends with the smallest items, so the bytes come out near equal: the law is ``bytes``.
+Packing ends with the smallest items, and a few are moved from the fullest shard to the emptiest, so the bytes come out near
+equal: the law is ``bytes``.
 
 Slots are numbered in cells of (shard, hash of doc_id), whose counts give each cell its first slot; no shard is sorted in
 one task. Null text has no bytes (size 1) and is a group with the empty texts; null and repeated doc_ids are numbered
@@ -44,7 +45,26 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     for i in np.lexsort((np.arange(len(vectors)), -share.max(axis=1))):
         out[i] = best = int(np.argmax(residual @ share[i]))
         residual[best] -= share[i]
-    return out
+    return level(share, out, shards)
+
+
+def level(share: np.ndarray, where: np.ndarray, shards: int, rounds: int = 1000) -> np.ndarray:
+    """Move items from the shard with the most bytes to the one with the least: the one that leaves the two closest, bytes
+    counting four times as much as the rest, as long as that brings them closer."""
+    load = np.stack([np.bincount(where, weights=x, minlength=shards) for x in share.T], axis=1)
+    weight = np.array([4.0, *[1.0] * (share.shape[1] - 1)])
+    for _ in range(rounds):
+        high, low = int(load[:, 0].argmax()), int(load[:, 0].argmin())
+        own = np.flatnonzero(where == high)
+        gap = load[high] - load[low]
+        after = np.abs(gap - 2 * share[own]) @ weight
+        if not len(own) or after.min() >= np.abs(gap) @ weight - 1e-15:
+            break
+        best = own[after.argmin()]
+        where[best] = low
+        load[high] -= share[best]
+        load[low] += share[best]
+    return where
 
 
 def shard(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
