@@ -81,10 +81,16 @@ def _batch(ids: list, terms: list, tfs: list, positions: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "tf", "positions"])
 
 
+#: Input for each core up to which it is dealt anew.
+SMALL_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions, as one small file does; large inputs stay as they are."""
+    """``df`` over all cores if it is small by the optimizer's estimate, as it may come in one file; large inputs, and those
+    of unknown size, stay as they are. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
 
 
 def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
