@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import gleaner
-
-# Executors need not have the package installed: its functions travel with the tasks.
-cloudpickle.register_pickle_by_value(gleaner)
-
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+from gleaner.sources.scratch import stored
 
-_scratch: dict[str, str] = {}
+__all__ = ["fresh", "small_enough", "stored", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,36 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; below an own temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _scratch.setdefault("", tempfile.mkdtemp(prefix="gleaner-"))
-    app = f"{base.rstrip('/')}/gleaner-{spark.sparkContext.applicationId}"
-    if app not in _scratch.values():
-        _scratch[app] = app
-        atexit.register(_delete, spark, app)
-    return app
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder when the driver ends; a session that is already gone leaves it to the cluster's cleaner."""
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the application is ending
-        pass
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost a reread."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

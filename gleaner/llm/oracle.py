@@ -43,8 +43,8 @@ LINE_DEDUP = f"""WITH ln AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGE
   cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pre a JOIN pre b ON a.t = b.t AND a.id <> b.id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
   hit AS (SELECT DISTINCT a FROM cand JOIN sets p ON p.id = a JOIN sets q ON q.id = b WHERE q.first < p.first AND len(list_intersect(p.w, q.w)) >= 0.8 * (p.n + q.n - len(list_intersect(p.w, q.w))) - 1e-9),
   gone AS (SELECT ws.doc_id, ws.line FROM ws JOIN sets s ON s.w = ws.w WHERE s.id IN (SELECT a FROM hit) OR s.first <> struct_pack(d := ws.doc_id, l := ws.line)),
-  kept AS (SELECT doc_id, count(*) AS n, string_agg(text, chr(10) ORDER BY line) AS t FROM ln WHERE (doc_id, line) NOT IN (SELECT (doc_id, line) FROM gone) GROUP BY doc_id)
-  SELECT a.doc_id, a.n_lines, a.n_lines - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM (SELECT doc_id, count(*) AS n_lines FROM ln GROUP BY doc_id) a LEFT JOIN kept k ON k.doc_id = a.doc_id"""
+  g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS r FROM gone GROUP BY doc_id)
+  SELECT a.doc_id, a.n_lines, coalesce(g.n, 0) AS n_removed, coalesce(g.r, '') AS removed FROM (SELECT doc_id, count(*) AS n_lines FROM ln GROUP BY doc_id) a LEFT JOIN g ON g.doc_id = a.doc_id"""
 
 TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)

@@ -28,7 +28,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove(table(spark, sf_dir, "documents")).drop("removed")
+    return lines.remove(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
