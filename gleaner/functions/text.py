@@ -89,7 +89,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it is small by the optimizer's estimate, as it may come in one file; large inputs, and those
     of unknown size, stay as they are. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= cores * SMALL_BYTES else df
 
 
