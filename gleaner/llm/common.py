@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.sources.scratch import stored
 
-__all__ = ["fresh", "small_enough", "stored", "table", "whole_text"]
+__all__ = ["fresh", "small_enough", "stored", "table", "tidy", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +38,12 @@ def whole_text(column: str = "text") -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than are needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def tidy() -> None:
+    """At a task's end, hand free memory back to the system: the worker lives on, and a later task needs its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .shingles import parts, shingles
 
 THRESHOLD = 0.8
@@ -138,5 +139,6 @@ def _without(docs: DataFrame, index: ItemIndex, threshold: float) -> DataFrame:
                     if np.isin(own.sets[i], hashes[offsets[r] : offsets[r + 1]]).sum() >= threshold * len(own.sets[i]):
                         keep[first + r] = False
             yield batch.filter(pa.array(keep))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, whole_text
+from .common import fresh, stored, tidy, whole_text
 from .components import components
 from .shingles import mixed, parts, shingles
 
@@ -119,6 +119,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary()), pa.array(count), pa.array(bands, pa.list_(pa.int64()))],
             ["doc_id", "key", "set_id", "n_shingles", "bands"],
         )
+    tidy()
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -230,6 +231,8 @@ def _blocks(threshold: float):
                 held.append(row)
             yield _ties(out)
         yield _ties(block(held) if held else [])
+        held.clear()
+        tidy()
 
     return run
 

@@ -4,7 +4,7 @@ A word enters as the end states of a bidirectional GRU over its characters, besi
 words of the fit. A bidirectional GRU runs over the words of a window; attention pools its states; a logistic unit scores
 the window. A text is scored over all of its overlapping windows (``window`` words, every ``stride``), and its score is
 that of its worst window. Texts are scored whole, wherever they lie, without a shuffle; word vectors are computed once for
-each distinct word of a task.
+each distinct word of a part, and kept for the first of a task.
 
 The fit is on a bounded sample of labelled rows (``sample``: at most so many of either label, of at most ``longest``
 characters, the first by a hash of doc_id), in ``rounds`` of multiple-instance training: each text stands with its worst
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .shingles import parts
 
 CUT = 0.7
@@ -109,9 +110,9 @@ def gru_back(d_out: np.ndarray, u: np.ndarray, mask: np.ndarray, saved: list):
 
 
 class Memo:
-    """Numbers and projected inputs of words, each computed once; it starts anew beyond ``most`` words."""
+    """Numbers and projected inputs of words; the first ``most`` are kept from text to text."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 60_000) -> None:
         self.most = most
         self.number: dict[str, int] = {}
         self._held: tuple[np.ndarray, np.ndarray] | None = None
@@ -126,7 +127,8 @@ class Memo:
 
     def room(self) -> None:
         if len(self.number) > self.most:
-            self.number, self._held = {}, None
+            self.number = dict(islice(self.number.items(), self.most))
+            self._held = tuple(x[: self.most + 1].copy() for x in self._held)
 
 
 class Network:
@@ -283,7 +285,7 @@ class Network:
             rows.append(padded[start[:, None] + np.arange(window)])
             owner.append(np.full(len(start), i))
         rows, owner = np.concatenate(rows), np.concatenate(owner)
-        out = np.concatenate([self.windows(*tables, rows[i : i + 8192].T) for i in range(0, len(rows), 8192)])
+        out = np.concatenate([self.windows(*tables, rows[i : i + 4096].T) for i in range(0, len(rows), 4096)])
         worst = np.full(len(texts), -np.inf, np.float32)
         np.maximum.at(worst, owner, out)
         if not pick:
@@ -393,7 +395,7 @@ def score_batch(net: Network | None, texts: pa.Array, memo: Memo) -> np.ndarray:
     out = np.zeros(len(texts))
     if net is None:
         return out
-    for first, part in parts(texts, 1 << 20):
+    for first, part in parts(texts, 1 << 19):
         out[first : first + len(part)] = net.scores(net.logits([t or "" for t in part.to_pylist()], memo=memo))
         memo.room()
     return out
@@ -408,6 +410,7 @@ def score(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) ->
         for batch in batches:
             s = score_batch(held.value, batch.column("text"), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(run, SCHEMA)
@@ -422,5 +425,6 @@ def remove(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) -
         memo = Memo()
         for batch in batches:
             yield batch.filter(pa.array(score_batch(held.value, batch.column(place), memo) < CUT))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
