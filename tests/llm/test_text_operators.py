@@ -332,6 +332,25 @@ def test_lines(make_docs, seed):
         assert texts[i] == "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone)
 
 
+@pytest.mark.parametrize("base", [0, 10_000_000, 2**50])
+def test_lines_long_lists(make_docs, base):
+    """Lists of more than SMALL sets, several variants in one document, and sets met first in later documents."""
+    rng = random.Random(7)
+    pool = [rng.sample(WORDS, 12) for _ in range(8)]
+    docs = []
+    for i in range(40):
+        own = []
+        for _ in range(rng.randint(1, 12)):
+            words = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            own.append(" ".join(words[: rng.randint(8, 12)]))
+        docs.append((base + i, "\n".join(own)))
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["removed"] for r in lines.remove(make_docs(docs)).collect()}
+    assert got == {i: gone for (i, _), gone in zip(docs, plain_lines(docs), strict=True)}
+
+
 def test_lines_edges(make_docs):
     got = lines.remove(make_docs([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 1)]  # rows alike fare alike
