@@ -351,6 +351,13 @@ def test_lines_long_lists(make_docs, base):
     assert got == {i: gone for (i, _), gone in zip(docs, plain_lines(docs), strict=True)}
 
 
+def test_lines_null_ids(make_docs):
+    """A null doc_id comes last, and its lines are met nowhere else in its task."""
+    docs = [(5, "a b c d e f g h i j"), (9, "k l m n o p q r s t"), (None, "a b c d e f g h i z\nk l m n o p q r s t u\na b c k l m"), (2**63 - 1, "k l m n o p q r s x")]
+    got = {r["doc_id"]: r["removed"] for r in lines.remove(make_docs(docs)).collect()}
+    assert got == {5: [], 9: [], None: [0, 1], 2**63 - 1: [0]}
+
+
 def test_lines_edges(make_docs):
     got = lines.remove(make_docs([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 1)]  # rows alike fare alike
