@@ -5,7 +5,8 @@ their number of shingles n, [2^j, 2^(j+1)), and documents are seen through windo
 half that: a passage as long as any item of the partition lies in one window. Window and item are compared by a
 one-permutation MinHash of ``BINS`` bins; a single equal minimum makes a candidate. A window's minimum can only equal an
 item's if the shingle itself is one, so shingles are first looked up among the items' minima and windows are only reduced
-where one is found. Candidates are verified over the whole document: shared shingles / shingles of the item.
+where one is found. Items of up to ``FEW`` shingles have too few minima for that, as a smaller shingle beside them in the
+window may hide one: any shingle in common makes them a candidate. Candidates are verified over the whole document: shared shingles / shingles of the item.
 
 Items are taken in blocks of about ``ITEM_BLOCK``, each sent to all tasks in turn; documents are never shuffled. Null or
 empty texts have no shingles and match nothing; repeated rows give repeated matches; empty tables give no rows.
@@ -26,8 +27,11 @@ from .shingles import parts, shingles
 
 THRESHOLD = 0.8
 BINS = 64
+FEW = 16
 ITEM_BLOCK = 20_000
 _TABLE_BITS = 22
+#: the partition of items of up to FEW shingles
+_ANY = -1
 
 
 class ItemIndex:
@@ -44,7 +48,8 @@ class ItemIndex:
             if not len(own):
                 continue
             _, first = np.unique(own % self.bins, return_index=True)  # own is sorted: the first of a bin is its minimum
-            minima.setdefault(len(own).bit_length() - 1, []).extend((int(h), len(self.ids)) for h in own[first])
+            few = len(own) <= FEW
+            minima.setdefault(_ANY if few else len(own).bit_length() - 1, []).extend((int(h), len(self.ids)) for h in (own if few else own[first]))
             self.ids.append(key)
             self.sets.append(own)
         self.parts = {}
@@ -56,7 +61,7 @@ class ItemIndex:
             self.table[keys >> np.uint64(64 - _TABLE_BITS)] = True
 
     def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) pairs of which some window and the item have a minimum in common."""
+        """(row, item) pairs of which some window and the item have a minimum in common, or any shingle if the item has few."""
         found: set[tuple[int, int]] = set()
         at = np.flatnonzero(self.table[hashes >> np.uint64(64 - _TABLE_BITS)])
         row = np.searchsorted(offsets, at, "right") - 1
@@ -66,6 +71,9 @@ class ItemIndex:
             for k in np.flatnonzero(hi > lo):
                 r, h = int(row[k]), hashes[at[k]]
                 new = [int(i) for i in items[lo[k] : hi[k]] if (r, int(i)) not in found]
+                if j == _ANY:
+                    found.update((r, i) for i in new)
+                    continue
                 begin, end = int(offsets[r]), int(offsets[r + 1])
                 window = (int(at[k]) - begin) // half
                 for w in (window - 1, window) if new else ():

@@ -401,6 +401,15 @@ def test_contamination(spark, make_docs):
     assert contamination.remove(make_docs(docs), table.limit(0)).count() == len(docs)
 
 
+def test_contamination_short_items():
+    """Items of few shingles between other words, whose shingles may hide theirs, are all found."""
+    rng = random.Random(8)
+    items = [" ".join(f"i{k}x{n}" for n in range(rng.choice([5, 6, 8]))) for k in range(1000)]
+    docs = [f"{sentence(rng, 30)} {x} {sentence(rng, 30)}" for x in items]
+    index = contamination.ItemIndex(list(range(len(items))), pa.array(items))
+    assert index.candidates(*shingles.shingles(pa.array(docs))) >= {(k, k) for k in range(len(items))}
+
+
 def test_columns_are_left_alone(make_docs):
     df = make_docs([(1, "x y z")]).withColumn("n_removed", F.lit("mine")).withColumn("digest", F.lit(1))
     assert passages.remove(df).count() == lines.remove(df).count() == secrets.scan(df).count() == ngram_join.join(df).count() == 1
