@@ -358,6 +358,14 @@ def test_lines_null_ids(make_docs):
     assert got == {5: [], 9: [], None: [0, 1], 2**63 - 1: [0]}
 
 
+def test_lines_of_millions_of_words(spark):
+    """Two sets of 2,000,000 words whose rarest shared word is the 200,000th of each may match at 0.8."""
+    size = spark.range(1).select(lines.posting_size(F.lit(2_000_000), F.lit(200_000))).first()[0]
+    rows = {"token": [7, 7], "s1": [1, 2], "doc": [1, 2], "row": [0, 0], "size": [size, size], "m1": [0, 0], "m2": [0, 0]}
+    (got,) = lines._candidates_of(0.8, False)(iter([pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})]))
+    assert (got["a1"].to_pylist(), got["b1"].to_pylist()) == ([2], [1])
+
+
 def test_lines_edges(make_docs):
     got = lines.remove(make_docs([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 1)]  # rows alike fare alike
