@@ -358,14 +358,54 @@ def test_lines_null_ids(make_docs):
     assert got == {5: [], 9: [], None: [0, 1], 2**63 - 1: [0]}
 
 
-def test_lines_of_millions_of_words(spark):
+def test_lines_of_millions_of_words():
     """Two sets of 2,000,000 words whose rarest shared word is the 200,000th of each may match at 0.8."""
-    size = spark.range(1).select(lines.posting_size(F.lit(2_000_000), F.lit(200_000))).first()[0]
-    rows = {"token": [7, 7], "s1": [1, 2], "doc": [1, 2], "row": [0, 0], "size": [size, size], "m1": [0, 0], "m2": [0, 0]}
+    size = int(lines.posting_size(np.array([2_000_000]), np.array([200_000]))[0])
+    rows = {"list": [7, 7], "s1": [1, 2], "doc": [1, 2], "row": [0, 0], "size": [size, size], "m1": [0, 0], "m2": [0, 0]}
     (got,) = lines._candidates_of(0.8, False)(iter([pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})]))
     assert (got["a1"].to_pylist(), got["b1"].to_pylist()) == ([2], [1])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_split_lists(make_docs, monkeypatch, seed):
+    """Words that nearly all sets share, lists split by a second word, and sets whose first candidates fail."""
+    for name, value in (("LONG", 4), ("SAMPLED", 1), ("SMALL", 2), ("EARLIEST", 1)):
+        monkeypatch.setattr(lines, name, value)
+    rng = random.Random(seed)
+    pool = [rng.sample(WORDS, 14) for _ in range(6)]
+    docs = []
+    for i in range(50):
+        own = []
+        for _ in range(rng.randint(1, 10)):
+            words = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            own.append("hot " + " ".join(words[: rng.randint(9, 14)]))
+        docs.append((i, "\n".join(own)))
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["removed"] for r in lines.remove(make_docs(docs)).collect()}
+    assert got == {i: gone for (i, _), gone in zip(docs, plain_lines(docs), strict=True)}
+
+
+def test_lines_split_keys():
+    """Sets that match share a list however the split words lie."""
+    rng = np.random.default_rng(3)
+    split = np.sort(rng.choice(200, 60, replace=False)).astype(np.int64)
+    for _ in range(200):
+        n = int(rng.integers(4, 40))
+        a = np.sort(rng.choice(200, n, replace=False)).astype(np.int64)
+        b = a.copy()
+        b[rng.choice(n, n // 9, replace=False)] = rng.choice(np.arange(200, 300), n // 9, replace=False)
+        b = np.unique(b)
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)) - 1e-9:
+            continue
+        keys = []
+        for x in (a, b):
+            k = min(len(x), int(lines.prefix_length(np.array([len(x)]), 0.8)[0]) + 1)
+            keys.append(set(lines.keys_of(np.array([0, k]), x[:k], np.arange(k), np.array([len(x)]), split, 0.8)[0].tolist()))
+        assert keys[0] & keys[1]
+
+
 def test_lines_edges(make_docs):
     got = lines.remove(make_docs([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 1)]  # rows alike fare alike
