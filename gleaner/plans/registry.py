@@ -363,9 +363,25 @@ def time_until_ready(spark, sf_dir):
     return frontier.time_until_ready(due, 2.0)
 
 
-@query(f"WITH {sql.LINKS} SELECT count(*) AS size, count(DISTINCT host) AS active_hosts, count(DISTINCT url) AS seen, CAST(0 AS INTEGER) AS dropped FROM {_LINK_ROWS}")
+def _offered(spark, sf_dir):
+    """A row for each link of each page, in the order of the pages; ties by URL."""
+    links = _pages(spark, sf_dir).select("page_id", F.explode("links").alias("url"))
+    return links.select("url", urls.host(F.col("url")).alias("host"), F.struct("page_id", "url").alias("seq"))
+
+
+_FIRSTS = "(SELECT url, min(page_id) AS page_id FROM links GROUP BY url)"
+
+
+@query(f"WITH {sql.LINKS} SELECT fate, count(*) AS n FROM (SELECT CASE WHEN rn > 100 THEN 'dropped' WHEN links.page_id = f.page_id THEN 'enqueued' ELSE 'duplicate' END AS fate FROM links JOIN (SELECT *, row_number() OVER (ORDER BY page_id, url) AS rn FROM {_FIRSTS}) f ON f.url = links.url) GROUP BY fate")
+def frontier_admission(spark, sf_dir):
+    return frontier.admission(_offered(spark, sf_dir), 100).groupBy("fate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {sql.LINKS}, f AS (SELECT *, row_number() OVER (ORDER BY page_id, url) AS rn FROM {_FIRSTS})
+  SELECT count(*) FILTER (rn <= 700) AS size, count(*) FILTER (rn <= 700) AS enqueued, CAST((SELECT count(*) FROM links WHERE url IN (SELECT url FROM f WHERE rn > 700)) AS BIGINT) AS dropped,
+  count(DISTINCT {sql.host('url')}) FILTER (rn <= 700) AS active_hosts, count(*) FILTER (rn <= 700) AS seen FROM f""")
 def frontier_stats(spark, sf_dir):
-    return frontier.stats(_frontier(spark, sf_dir))
+    return frontier.stats(_offered(spark, sf_dir), 700)
 
 
 _SEEDS = "SELECT DISTINCT url FROM pg"
