@@ -79,7 +79,8 @@ def mixing_sql(p: mixing.MixParams = mixing.MixParams()) -> str:
     return out
 
 
-def url_filter_sql(rules=url_filter.RULES, p: url_filter.TreeParams = url_filter.TreeParams()) -> str:
+def url_filter_sql(rules=url_filter.RULES, p: url_filter.TreeParams = url_filter.TreeParams(), levels: int = 8) -> str:
+    """Of paths of at most ``levels`` segments; further ones would be further steps of the same form."""
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{x}') THEN '{{}}'" for _, h, x in order)
     rule, verdict = (f"CASE {fits.format(*values)} END" for values in ([h + x for _, h, x in order], [v for v, _, _ in order]))
@@ -88,20 +89,20 @@ def url_filter_sql(rules=url_filter.RULES, p: url_filter.TreeParams = url_filter
     out = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
     seg AS (SELECT *, {rule} AS rule, {verdict} AS by_rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS kept FROM hp),
-    seen AS (SELECT page_id, host, path, rule, by_rule, list_concat(list_transform(list_slice(kept, 1, {p.depth}), lambda s: {form}), CASE WHEN len(kept) > {p.depth} THEN ['**'] ELSE [] END) AS shape FROM seg),
+    seen AS (SELECT page_id, host, path, rule, by_rule, list_transform(kept, lambda s: {form}) AS shape FROM seg),
     a0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (by_rule = 'block') AS b, count(*) FILTER (by_rule = 'allow') AS a FROM seen GROUP BY ALL),
     root AS (SELECT host, sum(a) AS ra, sum(b) AS rb FROM a0 GROUP BY host),
     t0 AS (SELECT a0.*, '' AS t, CASE WHEN ra + rb >= {p.min_support} THEN {purity('rb', 'ra')} END AS v FROM a0 JOIN root USING (host))"""
-    for k in range(p.depth + 1):
+    for k in range(levels):
         chi = " + ".join(f"CASE WHEN {w} > 0 THEN power({o} - n * {w} / pn, 2) / (n * {w} / pn) ELSE 0 END" for o, w in (("b", "pb"), ("a", "pa"), ("(n - b - a)", "(pn - pb - pa)")))
-        is_form = "(starts_with(s, '{') OR s = '**')"
+        is_form = "starts_with(s, '{')"
         out += f""",
-    br{k} AS (SELECT host, t, shape[{k + 1}] AS s, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(a) AS DOUBLE) AS a FROM t{k} WHERE shape[{k + 1}] IS NOT NULL GROUP BY ALL),
+    br{k} AS (SELECT host, t, shape[{k + 1}] AS s, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(a) AS DOUBLE) AS a FROM t{k} WHERE shape[{k + 1}] IS NOT NULL AND NOT ends_with(t, '/**') GROUP BY ALL),
     pr{k} AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb, sum(a) OVER w AS pa FROM br{k} WINDOW w AS (PARTITION BY host, t)),
-    gn{k} AS (SELECT host, t, s, b, a, CASE WHEN NOT {is_form} AND (n < {p.min_share} * pn OR n < {p.min_pages}) THEN '*' WHEN NOT {is_form} AND {chi} < {p.chi2} THEN '~' ELSE s END AS g FROM pr{k}),
+    gn{k} AS (SELECT host, t, s, b, a, CASE WHEN pn < {p.min_pages} THEN '**' WHEN NOT {is_form} AND (n < {p.min_share} * pn OR n < {p.min_pages}) THEN '*' WHEN NOT {is_form} AND {chi} < {p.chi2} THEN '~' ELSE s END AS g FROM pr{k}),
     mg{k} AS (SELECT *, sum(b) OVER w AS mb, sum(a) OVER w AS ma FROM gn{k} WINDOW w AS (PARTITION BY host, t, g)),
     t{k + 1} AS (SELECT x.host, x.shape, x.n, x.b, x.a, CASE WHEN m.g IS NOT NULL THEN concat(x.t, '/', m.g) ELSE x.t END AS t, CASE WHEN ma + mb >= {p.min_support} THEN {purity('mb', 'ma')} ELSE x.v END AS v
       FROM t{k} x LEFT JOIN mg{k} m ON m.host = x.host AND m.t = x.t AND m.s = x.shape[{k + 1}])"""
-    last = p.depth + 1
+    last = levels
     return out + f"""
     SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.by_rule, CASE WHEN coalesce(t{last}.v, false) THEN 'block' ELSE 'allow' END) AS verdict, t{last}.t AS template FROM seen s JOIN t{last} ON t{last}.host = s.host AND t{last}.shape = s.shape"""
