@@ -7,7 +7,7 @@ siblings of an ancestor only when a node's children cannot hold it together.
 
 A leaf with budget b and t tokens gives its rows b div t times whole, and once more the prefix of b mod t tokens in a
 seeded order of its own for that epoch. The prefix is found without sorting a leaf: tokens are summed by slices of the
-seeded key, the slice in which the prefix ends is looked up, and only that slice is ordered.
+seeded key, the slice in which the prefix ends is looked up and sliced in turn until it is small, and only that is ordered.
 
 All of it is DataFrame work. Null text is empty and has no tokens; a null lang or source is a child named ``(none)``;
 rows of one doc_id share a key and stay or go together; an empty table gives an empty result.
@@ -25,6 +25,9 @@ from .common import fresh, small_enough, stored
 LEVELS = ("domain", "language", "origin")
 #: Leaves up to which the table of leaves is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_LEAVES = 50_000
+#: Digits of the key by which a slice is sliced, and rows of a slice that are ordered in one task (more only if they share a
+#: key, which rows of one doc_id do).
+DIGITS, SLICE_ROWS = 2, 10_000
 
 
 @dataclass(frozen=True)
@@ -67,19 +70,26 @@ def _weight(name: str, weights: dict) -> Column:
 def _share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """nodes: parent columns, name, cap, weight, given (to the parent) -> the same with ``given`` of the node.
 
-    Water filling in closed form: children in order of cap / weight are full as long as their part of what is left
-    exceeds what they hold; from the first that is not, all share in proportion."""
-    by = Window.partitionBy(*parent).orderBy("_ratio", name) if parent else Window.partitionBy(F.lit(0)).orderBy("_ratio", name)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nodes = nodes.withColumn("_ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(float("inf")))
-    nodes = nodes.withColumn("_left", F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    nodes = nodes.withColumn("_level", F.when(F.sum("weight").over(rest) > 0, F.col("_left") / F.sum("weight").over(rest)))
-    nodes = nodes.withColumn("_fills", F.coalesce(F.col("_ratio") <= F.col("_level"), F.lit(False)))
-    cut = F.min(F.when(~F.col("_fills") & F.col("_level").isNotNull(), F.struct("_ratio", F.col("_level").alias("l")))).over(every)
-    given = F.when(F.col("_fills"), F.col("cap")).when(F.col("weight") > 0, F.floor(cut["l"] * F.col("weight"))).otherwise(0)
-    return nodes.withColumn("given", F.least(F.col("cap"), F.greatest(F.lit(0), given)).cast("long")).drop("_ratio", "_left", "_level", "_fills")
+    Water filling by rounds of sums: the level is what is left for each weight of the children that are not full; those that
+    hold no more than their part of it are full from then on, which raises the level for the others. Each round is one
+    aggregate, whatever the number of children; rounds end when none of them fills another child."""
+    ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(float("inf"))
+    nodes = stored(nodes.select(*parent, name, "cap", "weight", "given", ratio.alias("ratio")), "mix-nodes")
+    at, full = nodes.withColumn("level", F.lit(None).cast("double")), -1
+    while True:
+        open_ = F.col("level").isNull() | (F.col("ratio") > F.col("level"))
+        sums = at.groupBy(*parent).agg(
+            F.first("given").alias("_given"), F.coalesce(F.sum(F.when(~open_, F.col("cap"))), F.lit(0)).alias("_held"), F.sum(F.when(open_, F.col("weight"))).alias("_weight"), F.count_if(~open_).alias("full")
+        )
+        level = F.when(F.col("_weight") > 0, (F.col("_given") - F.col("_held")) / F.col("_weight")).otherwise(float("inf"))
+        sums = stored(sums.select(*parent, level.alias("level"), "full"), "mix-levels")
+        now = sums.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
+        at = nodes.join(sums.drop("full"), parent) if parent else nodes.crossJoin(F.broadcast(sums.drop("full")))  # one row
+        if now == full:
+            break
+        full = now
+    given = F.when(F.col("ratio") <= F.col("level"), F.col("cap")).when(F.col("weight") > 0, F.floor(F.col("level") * F.col("weight"))).otherwise(0)
+    return at.withColumn("given", F.least(F.col("cap"), F.greatest(F.lit(0), given)).cast("long"))
 
 
 def budgets(leaves: DataFrame, p: MixParams) -> DataFrame:
@@ -101,38 +111,50 @@ def plan(docs: DataFrame, p: MixParams) -> DataFrame:
     leaves = placed.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     given = budgets(leaves, p).withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("given") / F.col("tokens"))).otherwise(1).cast("int"))
     given = stored(given.withColumn("rest", F.when(F.col("tokens") > 0, F.col("given") - F.col("whole") * F.col("tokens")).otherwise(0)), "mix-leaves")
-    few = F.broadcast(given) if small_enough(given, BROADCAST_LEAVES) else given
+    few = _few(given, given)
     keyed = placed.join(few.where("rest > 0").select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("key", epoch_key(F.col("doc_id"), F.col("whole") + 1, p.seed))
-    keyed = keyed.withColumn("slice", F.substring("key", 1, 3))
-    slices = keyed.groupBy(*LEVELS, "slice", "rest").agg(F.sum("tokens").alias("s"))
-    running = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("s").over(running), F.lit(0)))
-    last = slices.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("s") >= F.col("rest"))).select(*LEVELS, "slice", "before")
-    few = F.broadcast(last) if small_enough(given, BROADCAST_LEAVES) else last
-    inside = keyed.join(few, [*LEVELS, "slice"]).groupBy(*LEVELS, "key", "before", "rest").agg(F.sum("tokens").alias("s"))
+    # the slice in which a leaf's prefix ends, DIGITS more digits of the key at a time
+    at = given.where("rest > 0").select(*LEVELS, "rest", F.lit("").alias("slice"), F.lit(0).cast("bigint").alias("before"))
+    for length in range(DIGITS, 33, DIGITS):
+        inside = keyed.drop("rest").join(_few(at, given), list(LEVELS)).where(F.col("key").startswith(F.col("slice")))
+        slices = inside.groupBy(*LEVELS, "rest", "before", F.substring("key", 1, length).alias("slice")).agg(F.sum("tokens").alias("s"), F.count(F.lit(1)).alias("n"))
+        running = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        slices = slices.withColumn("before", F.col("before") + F.coalesce(F.sum("s").over(running), F.lit(0)))
+        at = stored(slices.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("s") >= F.col("rest"))).select(*LEVELS, "rest", "slice", "before", "n"), "mix-slices")
+        if (at.agg(F.max("n")).first()[0] or 0) <= SLICE_ROWS:
+            break
+        at = at.drop("n")
+    inside = keyed.drop("rest").join(_few(at, given), list(LEVELS)).where(F.col("key").startswith(F.col("slice")))
+    inside = inside.groupBy(*LEVELS, "key", "before", "rest").agg(F.sum("tokens").alias("s"))
     running = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("s").over(running), F.lit(0))).where("at < rest")
     return stored(given.join(inside.groupBy(*LEVELS).agg(F.max("key").alias("cut")), list(LEVELS), "left"), "mix-plan")
 
 
+def _few(at: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``at``, of a row for each leaf at most, to be broadcast if there are few leaves."""
+    return F.broadcast(at) if small_enough(leaves, BROADCAST_LEAVES) else at
+
+
 def epoch_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams(), columns: list[str] | None = None, with_place: bool = True) -> DataFrame:
     """The rows of the mix: ``columns`` of ``docs`` (all, if None) once for each epoch that takes them. with_place adds
-    domain, language, origin, epoch (from 1) and tokens."""
+    domain, language, origin, epoch (from 1) and tokens; one whose name is among ``columns`` gets underscores before it."""
     columns = docs.columns if columns is None else columns
     leaves = plan(docs, p)
-    tag, = fresh(docs, "_at")
-    leaf = leaves.select(F.struct(*LEVELS).alias(f"{tag}_leaf"), "whole", "cut").select(f"{tag}_leaf", F.struct("whole", "cut").alias(tag))
-    rows = docs.withColumn(f"{tag}_leaf", F.struct(*(c.alias(k) for k, c in _place(docs, p).items())))
-    few = F.broadcast(leaf) if small_enough(leaves, BROADCAST_LEAVES) else leaf
-    rows = rows.join(few, f"{tag}_leaf")
-    last = epoch_key(F.col("doc_id"), F.col(tag)["whole"] + 1, p.seed)
-    times = F.col(tag)["whole"] + F.coalesce((last <= F.col(tag)["cut"]).cast("int"), F.lit(0))
-    place = [F.col(f"{tag}_leaf")[k].alias(k) for k in LEVELS]
-    rows = rows.where(times > 0)
+    leaf, at, times_, epoch = fresh(docs, "_leaf", "_at", "_times", "_epoch")
+    told = leaves.select(F.struct(*LEVELS).alias(leaf), F.struct("whole", "cut").alias(at))
+    rows = docs.withColumn(leaf, F.struct(*(c.alias(k) for k, c in _place(docs, p).items())))
+    rows = rows.join(_few(told, leaves), leaf)
+    last = epoch_key(F.col("doc_id"), F.col(at)["whole"] + 1, p.seed)
+    rows = rows.withColumn(times_, F.col(at)["whole"] + F.coalesce((last <= F.col(at)["cut"]).cast("int"), F.lit(0))).where(F.col(times_) > 0)
+    own = [F.col(f"`{c}`") for c in columns]
+    every = F.explode(F.sequence(F.lit(1), F.col(times_)))
     if not with_place:
-        return rows.select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), times)).alias(f"{tag}_epoch")).drop(f"{tag}_epoch")
-    return rows.select(*(F.col(f"`{c}`") for c in columns), *place, F.explode(F.sequence(F.lit(1), times)).alias("epoch"), n_tokens(F.col("text")).alias("tokens"))
+        return rows.select(*own, every.alias(epoch)).drop(epoch)
+    names = fresh(docs.select(*own), *LEVELS, "epoch", "tokens")
+    values = [*(F.col(leaf)[k] for k in LEVELS), every, n_tokens(F.col("text"))]
+    return rows.select(*own, *(v.alias(k) for v, k in zip(values, names, strict=True)))
