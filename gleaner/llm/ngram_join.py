@@ -38,6 +38,7 @@ TOLERANCE = 1e-6
 #: Sets of a chunk: CHUNK while that makes at most FEW chunks, at most LARGE sets and LARGE_BYTES of text in any case.
 CHUNK, FEW, LARGE, LARGE_BYTES = 64, 32, 2048, 16 << 20
 _TILE = 128
+_WIDE = 1 << 16
 
 _rng = np.random.default_rng(41)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -159,9 +160,16 @@ def _verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     if len(i) > 2 * len(rows):
         place = np.searchsorted(rows, np.arange(len(sets)))
         values, where = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
-        held = np.zeros((len(rows), len(values)), np.float32)
-        held[np.repeat(np.arange(len(rows)), size[rows]), where] = 1
-        shared = (held @ held.T)[place[i], place[j]].astype(np.int64)
+        own = np.repeat(np.arange(len(rows)), size[rows])
+        order = np.argsort(where, kind="stable")
+        own, where = own[order], where[order]
+        every = np.zeros((len(rows), len(rows)), np.float64)
+        for first in range(0, len(values), _WIDE):  # so many distinct shingles at a time, whatever the sets' sizes
+            a, b = np.searchsorted(where, (first, first + _WIDE))
+            held = np.zeros((len(rows), min(_WIDE, len(values) - first)), np.float32)
+            held[own[a:b], where[a:b] - first] = 1
+            every += held @ held.T
+        shared = every[place[i], place[j]].astype(np.int64)
     else:
         for k, (a, b) in enumerate(zip(i, j, strict=True)):
             shared[k] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
@@ -305,11 +313,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     worded = node.where("set_id IS NOT NULL").join(found.select("set_id", "root"), "set_id", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = worded.groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min(order).alias("o"))
-    key, id_ = fresh(docs, "_key", "_id")
-    rows = docs.withColumns({key: _key(whole_text()), id_: F.col("doc_id").cast("bigint")})
+    key, id_, none = fresh(docs, "_key", "_id", "_none")
+    rows = docs.withColumns({key: _key(whole_text()), id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), none: F.col("doc_id").isNull()})
     has_words = whole_text().rlike(r"[^\x09-\x0d\x1c-\x20]")
-    kept = kept.select(F.col("o.key").alias(key), F.coalesce("o.doc_id", F.lit(-1)).alias(f"{id_}_or"), F.col("o.none").alias(f"{id_}_none"))
-    rows = rows.withColumns({f"{id_}_none": F.col(id_).isNull(), f"{id_}_or": F.coalesce(id_, F.lit(-1))})
-    on = [key, f"{id_}_or", f"{id_}_none"]
-    one = rows.where(has_words).dropDuplicates(on).join(kept, on, "left_semi")
+    kept = kept.select(F.col("o.key").alias(key), F.coalesce("o.doc_id", F.lit(-1)).alias(id_), F.col("o.none").alias(none))
+    one = rows.where(has_words).dropDuplicates([key, id_, none]).join(kept, [key, id_, none], "left_semi")
     return one.unionByName(rows.where(~has_words)).select(*(F.col(f"`{c}`") for c in docs.columns))
