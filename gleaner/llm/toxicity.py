@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A word enters as the end states of a bidirectional GRU over its characters, beside a vector of its own if it is among the
+A word is a run without spaces, without the symbols at its ends, or a run of symbols alone. It enters as the end states of a bidirectional GRU over its characters, beside a vector of its own if it is among the
 words of the fit. A bidirectional GRU runs over the words of a window; attention pools its states; a logistic unit scores
 the window. A text is scored over all of its overlapping windows (``window`` words, every ``stride``), and its score is
 that of its worst window. Texts are scored whole, wherever they lie, without a shuffle; word vectors are computed once for
@@ -12,12 +12,14 @@ window as the network then sees it, clean texts with a random one besides. Only
 not 1 are fitted. Text is the only input. The cut-off of ``predicted`` (0.7) is laid where the fitted rows part best.
 
 Null text is empty, and an empty text is scored as one empty window. Without labelled rows of both kinds there is nothing
-to learn and every score is 0. A null doc_id is never held out. Rows with several labels count with each.
+to learn and every score is 0. A null doc_id is never held out. Rows with several labels count with each. Repeated rows are
+scored alike, an empty table gives no rows, and other columns of either table are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -31,17 +33,20 @@ from .common import tidy
 from .shingles import parts
 
 CUT = 0.7
-#: a longer run of letters and digits comes as several words
-_WORD = re.compile(r"[^\W_]{1,24}")
+#: a run without spaces from a letter or digit to the last one, with all that stands between, or a run of symbols alone; a
+#: longer one than 24 characters comes as several words
+_WORD = re.compile(r"[^\W_](?:\S{0,22}[^\W_])?|(?<!\S)(?:[^\w\s]|_){1,24}")
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """sample, longest, vocabulary: bounds of the fit. The rest are the network's sizes and its training."""
+    """sample, longest, vocabulary, letters: bounds of the fit (letters: characters that get a vector of their own, the most
+    frequent of the sample; all others share one). The rest are the network's sizes and its training."""
 
     sample: int = 900
     longest: int = 12_000
     vocabulary: int = 4_000
+    letters: int = 2_000
     window: int = 24
     stride: int = 16
     char_dim: int = 12
@@ -318,7 +323,8 @@ def fit(texts: list[str], labels: list[int], p: ToxicParams = ToxicParams()) ->
     n = [max(1.0, float((y == k).sum())) for k in (0, 1)]
     told = {x: abs(np.log((b + 0.5) / n[1]) - np.log((a + 0.5) / n[0])) * np.sqrt(a + b) for x, (a, b) in count.items() if a + b > 1}
     vocabulary = sorted(told, key=lambda x: (-told[x], x))[: p.vocabulary]
-    letters = sorted({c for x in count for c in x})[:2000]
+    said = Counter(c for x in count for c in x)
+    letters = sorted(sorted(said, key=lambda c: (-said[c], c))[: p.letters])
     net = Network(p, vocabulary, letters)
     rng = np.random.default_rng(p.seed + 1)
     # to begin with, a text's window is the one with the word that most speaks for a label

@@ -1,5 +1,6 @@
 """Sharding, url filter, top-k search, mixing and the pipeline."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -14,15 +15,56 @@ from gleaner.llm import mixing, sharding, topk, url_filter
 from .conftest import WORDS
 
 
+def plain_pack(vectors, shards):
+    """Groups, the largest first, where the dot product with what is left is highest; in plain loops."""
+    total = [sum(v[d] for v in vectors) or 1 for d in range(3)]
+    share = [[v[d] / total[d] for d in range(3)] for v in vectors]
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(share[i]), i)):
+        fits = [sum(a * b for a, b in zip(own, share[i], strict=True)) for own in left]
+        top = max(fits)
+        out[i] = next(s for s, x in enumerate(fits) if x > top - 1e-15)
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], share[i], strict=True)]
+    return out
+
+
 def test_pack():
     rng = np.random.default_rng(1)
     v = rng.integers(1, 1000, (2000, 3)).astype(float)
     loads = np.stack([v[sharding.pack(v, 16) == s].sum(axis=0) for s in range(16)])
     assert (loads.max(axis=0) / loads.mean(axis=0)).max() < 1.01
+    for n in (1, 7, 60):
+        assert sharding.pack(v[:n], 5).tolist() == plain_pack(v[:n].tolist(), 5)
     assert len(sharding.pack(np.zeros((0, 3)), 4)) == 0
     assert set(sharding.pack(np.zeros((5, 3)), 4)) <= {0, 1, 2, 3}
 
 
+def test_packed_like_plain(make_docs):
+    """One cell, no piece and no move: the shards are those of the plain packer. Many cells are balanced all the same."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 60)))) for i in range(700)] + [(900 + i, "twice and more") for i in range(5)] + [(990, "long " * 20_000)]
+    p = sharding.ShardParams(shards=4, movable=1)
+    groups = {}
+    for _, t in docs:
+        v = groups.setdefault(hashlib.md5(t.encode()).digest(), [0, 0, 0])
+        groups[hashlib.md5(t.encode()).digest()] = [v[0] + len(t.encode()) + 1, v[1] + len(t.split()), v[2] + 1]
+    keys = sorted(groups)
+    where = plain_pack([groups[k] for k in keys], 4)
+    got = sharding.packed(make_docs(docs).sparkSession.createDataFrame([(bytearray(k), 0, *groups[k]) for k in keys], sharding.ITEMS), p).collect()
+    same = sum(dict(zip(keys, where, strict=True))[bytes(r["group"])] == r["shard"] for r in got)
+    assert len(got) == len(keys) and same >= len(keys) - 20  # all but those that are moved in the end
+    for per_cell in (50, 20_000):
+        size, rows = Counter(), sharding.shard(make_docs(docs[:-1]), sharding.ShardParams(shards=4, per_cell=per_cell)).collect()
+        for r in rows:
+            size[r["shard"]] += r["size"]
+        assert len(rows) == len(docs) - 1 and max(size.values()) - min(size.values()) < 0.01 * sum(size.values())
+        where = {}
+        for r in rows:
+            where.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert all(len(x) == 1 for x in where.values())  # equal texts stay together
+
+
 def test_sharding(make_docs):
     rng = random.Random(2)
     docs = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 60)))) for i in range(900)]
@@ -82,6 +124,24 @@ def test_template_purity(spark):
             assert r["verdict"] == ("block" if r["host"] == "h.com" and r["path"].startswith("/ads/") else "allow"), r
 
 
+def test_deep_paths(spark, monkeypatch):
+    """Templates are learned at any depth; a long list of rules gives the same verdicts as a short one."""
+    rules = (*(("block", "h.com", f"/a/b/c/d/ads/{i}/") for i in range(40)), *(("allow", "h.com", f"/a/b/c/d/news/{i}/") for i in range(40)), ("allow", "x.h.com", "/"))
+    urls = [f"http://h.com/a/b/c/d/{k}/{i}/p{j}" for k in ("ads", "news") for i in range(60) for j in range(2)] + ["http://x.h.com/a/b/c/d/ads/1/p", "http://h.com/" + "s/" * 40, "http://q.com/" + "z" * 200_000 + "/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    seen = []
+    for written in (200, 0):
+        monkeypatch.setattr(url_filter, "WRITTEN", written)
+        got = url_filter.filter_urls(df, rules).collect()
+        assert len(got) == len(urls)
+        for r in got:
+            if r["rule"] is None and r["host"] == "h.com" and r["path"].startswith("/a/"):
+                assert r["verdict"] == ("block" if "/ads/" in r["path"] else "allow"), r
+        assert {r["rule"] for r in got if r["host"] == "x.h.com"} == {"x.h.com/"}
+        seen.append(sorted((r["page_id"], r["rule"] or "", r["verdict"], r["template"]) for r in got))
+    assert seen[0] == seen[1]
+
+
 def plain_topk(rows, k=5):
     own = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -157,6 +217,24 @@ def test_mix(make_docs):
     assert mixing.mix(make_docs(docs).limit(0), p).count() == 0
 
 
+def test_mix_in_small_slices(make_docs, monkeypatch):
+    """However far the key is sliced, the same rows come; and the caller's columns come back as they were."""
+    rng = random.Random(8)
+    docs = [(i % 290, " ".join(rng.choices(WORDS, k=rng.randint(1, 9))), "en", f"src{i % 3}") for i in range(300)]
+    clash = {"_leaf": "mine", "_at": "mine", "_at_leaf": "mine", "_epoch": "mine", "domain": "mine", "Epoch": "mine", "tokens": "mine"}
+    df = make_docs(docs).withColumns({k: F.lit(v) for k, v in clash.items()})
+    taken = []
+    for rows in (10_000, 0):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", rows)
+        got = mixing.mix(df)
+        assert got.columns == [*df.columns, "_domain", "language", "origin", "__epoch", "_tokens"]
+        got = got.collect()
+        assert all(r[k] == v for r in got for k, v in clash.items())
+        taken.append(sorted((r["doc_id"], r["__epoch"]) for r in got))
+        assert mixing.mix(df, with_place=False).columns == df.columns
+    assert taken[0] == taken[1]
+
+
 def test_pipeline(spark, tmp_path, make_docs):
     rng = random.Random(7)
     docs, labels = [], []

@@ -1,6 +1,7 @@
 """Toxicity, passages, secrets, lines, n-gram join and decontamination against plain versions of the same rules."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -106,6 +107,53 @@ def test_gradients():
             assert caught[name][place] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.08, abs=2e-4), (name, place)
 
 
+def plain_score(net, text):
+    """One number at a time: every word's letters, every window of words, attention, the worst window."""
+    p, w = net.p, {k: v.astype(float).tolist() for k, v in net.w.items()}
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def dot(x, table, column):
+        return sum(a * row[column] for a, row in zip(x, table, strict=True))
+
+    def run(inputs, name, n):
+        h, out = [0.0] * n, []
+        for x in inputs:
+            g = [dot(h, w[name + "_u"], j) for j in range(3 * n)]
+            a = [dot(x, w[name + "_w"], j) + w[name + "_b"][j] for j in range(3 * n)]
+            z, r = ([sigmoid(a[k * n + j] + g[k * n + j]) for j in range(n)] for k in (0, 1))
+            c = [math.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+            h = [h[j] + (1 - z[j]) * (c[j] - h[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    def vector(word):
+        own = [w["letters"][net.letter_no.get(c, len(net.letter_no) + 1)] for c in word]
+        return run(own, "cf", p.char_state)[-1] + run(own[::-1], "cb", p.char_state)[-1] + w["words"][net.word_no.get(word, 0)]
+
+    words = re.findall(r"[^\W_](?:\S{0,22}[^\W_])?|(?<!\S)(?:[^\w\s]|_){1,24}", (text or "").lower())
+    best = -math.inf
+    for start in range(0, max(1, len(words) - p.window + p.stride), p.stride):
+        x = [vector(v) for v in words[start : start + p.window]]
+        both = [a + b for a, b in zip(run(x, "f", p.state), run(x[::-1], "b", p.state)[::-1], strict=True)]
+        e = [math.exp(sum(a * b for a, b in zip(s, w["att"], strict=True))) for s in both]
+        pooled = [sum(a * s[j] for a, s in zip(e, both, strict=True)) / sum(e) for j in range(2 * p.state)] if both else [0.0] * (2 * p.state)
+        best = max(best, sum(a * b for a, b in zip(pooled, w["out"], strict=True)) + w["bias"][0])
+    return sigmoid((best - net.shift) * net.scale + math.log(0.7 / 0.3))
+
+
+def test_scores_like_plain(make_docs):
+    rng = random.Random(9)
+    rows, labels = toxic_rows(rng, 60)
+    p = toxicity.ToxicParams(rounds=1, steps=8, window=6, stride=4, char_dim=4, char_state=3, word_dim=2, state=3, letters=9)
+    net = toxicity.fit([t for _, t in rows], [y for _, y in labels], p)
+    texts = [t for _, t in rows[:12]] + ["", None, "!!! ???", "v@le r0tten, (well-known) under_score", "x" * 100, "日本 é"]
+    got = toxicity.score_batch(net, pa.array(texts), toxicity.Memo())
+    assert got.tolist() == pytest.approx([plain_score(net, t) for t in texts], abs=2e-5)
+    assert len(net.letter_no) == 9
+
+
 def test_toxicity(spark, make_docs):
     rng = random.Random(2)
     rows, labels = toxic_rows(rng, 400)
@@ -362,7 +410,7 @@ def test_lines_of_millions_of_words():
     """Two sets of 2,000,000 words whose rarest shared word is the 200,000th of each may match at 0.8."""
     size = int(lines.posting_size(np.array([2_000_000]), np.array([200_000]))[0])
     rows = {"list": [7, 7], "s1": [1, 2], "doc": [1, 2], "row": [0, 0], "size": [size, size], "m1": [0, 0], "m2": [0, 0]}
-    (got,) = lines._candidates_of(0.8, False)(iter([pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})]))
+    got = lines.pairs_of([np.array(v) for v in rows.values()], 0.8, False)
     assert (got["a1"].to_pylist(), got["b1"].to_pylist()) == ([2], [1])
 
 
@@ -417,7 +465,7 @@ def test_lines_edges(make_docs):
 # -- 7 --
 
 
-def test_contamination(spark, make_docs):
+def test_contamination(spark, make_docs, monkeypatch):
     rng = random.Random(6)
     items = [(i, sentence(rng, rng.choice([1, 4, 6, 12, 20, 45, 90, 300]))) for i in range(60)]
     items += [(100, None), (101, ""), (102, items[5][1]), (None, items[6][1])]
@@ -439,12 +487,13 @@ def test_contamination(spark, make_docs):
             need = shingle_set(x)
             if need and len(need & own) >= 0.8 * len(need):
                 want.append((i, k, len(need), len(need & own)))
-    for block in (20_000, 7):
-        got = [(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contamination.search(make_docs(docs), table, item_block=block).collect()]
+    for most in (7, 20_000):  # by a join, and by an index in all tasks
+        monkeypatch.setattr(contamination, "MOST_ITEMS", most)
+        got = [(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contamination.search(make_docs(docs), table).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
-    kept = contamination.remove(make_docs(docs), table)
-    assert kept.columns == make_docs(docs).columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in docs if i not in {x[0] for x in want}), key=str)
+        kept = contamination.remove(make_docs(docs), table)
+        assert kept.columns == make_docs(docs).columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in docs if i not in {x[0] for x in want}), key=str)
     assert contamination.search(make_docs(docs), table.limit(0)).count() == contamination.search(make_docs(docs).limit(0), table).count() == 0
     assert contamination.remove(make_docs(docs), table.limit(0)).count() == len(docs)
 
@@ -459,5 +508,8 @@ def test_contamination_short_items():
 
 
 def test_columns_are_left_alone(make_docs):
+    mine = {k: F.lit("mine") for k in ("_id", "_id_or", "_id_none", "_none", "root", "set_id")}
+    kept = ngram_join.keep_one(make_docs([(1, "x y z"), (2, "x y z")]).withColumns(mine)).collect()
+    assert len(kept) == 1 and all(kept[0][k] == "mine" for k in mine)
     df = make_docs([(1, "x y z")]).withColumn("n_removed", F.lit("mine")).withColumn("digest", F.lit(1))
     assert passages.remove(df).count() == lines.remove(df).count() == secrets.scan(df).count() == ngram_join.join(df).count() == 1
