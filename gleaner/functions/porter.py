@@ -1,13 +1,14 @@
 """Porter stemming (M. F. Porter, "An algorithm for suffix stripping", 1980): as SQL for whole vocabularies, and for
 single words.
 
-The SQL form is a chain of projections, each computing a step from the one before; Spark and DuckDB run the same text but
-for the fold over characters. A word's shape is a string of c (consonant) and v (vowel); the measure is the number of
-``vc`` in it. The shape of a prefix is the prefix of the shape.
+The SQL form is a chain of projections, each computing a step from the one before, of functions that Spark compiles. A
+word's shape is a string of c (consonant) and v (vowel); the measure is the number of ``vc`` in it. The shape of a prefix is
+the prefix of the shape.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -21,98 +22,102 @@ STEP2 = {
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
-_KIND = "CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND right(acc, 1) = 'c') THEN 'v' ELSE 'c' END"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def shape_sql(word: str, dialect: str = "spark") -> str:
-    """The word's c/v shape. y is a vowel after a consonant, else a consonant; so are digits."""
-    if dialect == "spark":
-        return f"aggregate(split({word}, ''), '', (acc, c) -> concat(acc, {_KIND}))"
-    return f"list_reduce(string_split({word}, ''), lambda acc, c: concat(acc, {_KIND}), '')"
+def _shape(word: str) -> str:
+    """c for consonants and digits, v for vowels; y is a vowel after a consonant."""
+    shape = word.translate(_KINDS)
+    if "y" not in shape:
+        return shape
+    out = ""
+    for c in shape:
+        out += c if c != "y" else "v" if out.endswith("c") else "c"
+    return out
+
+
+_KINDS = {ord(c): "v" if c in "aeiou" else "y" if c == "y" else "c" for c in _LETTERS}
+
+# -- Columns --
+
+
+def shape_sql(word: str) -> str:
+    """Runs of y alternate: pairs first, those after a consonant, then those after a vowel or at the start, then what is
+    left."""
+    plain = f"translate({word}, '{_LETTERS}', '{''.join(_KINDS[ord(c)] for c in _LETTERS)}')"
+    after_c = f"regexp_replace({plain}, '(?:(?<=c)|(?!^)\\\\G)yy', 'vc')"
+    after_v = f"regexp_replace({after_c}, '(?:(?<=v)|^|(?!^)\\\\G)yy', 'cv')"
+    return f"CASE WHEN contains({word}, 'y') THEN translate(regexp_replace({after_v}, '(?<=c)y', 'v'), 'y', 'c') ELSE {plain} END"
 
 
 def _measure(shape: str) -> str:
     return f"((length({shape}) - length(replace({shape}, 'vc', ''))) / 2)"
 
 
-def _cvc(word: str, shape: str) -> str:
-    return f"({shape} LIKE '%cvc' AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
+def _but(name: str, n: int | str) -> str:
+    return f"left({name}, length({name}) - {n})"
 
 
-def _double(word: str, shape: str) -> str:
-    return f"(length({word}) >= 2 AND right({word}, 1) = left(right({word}, 2), 1) AND right({shape}, 1) = 'c')"
+def _short(word: str, shape: str) -> str:
+    return f"(endswith({shape}, 'cvc') AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
 
 
-def _cut(name: str, n: int) -> str:
-    return f"left({name}, length({name}) - {n})"
+def _ending(suffixes) -> str:
+    return f"regexp_extract(w, '({'|'.join(suffixes)})$', 1)"
+
 
+def _both(condition: str, word: str, shape: str) -> dict[str, str]:
+    """The word and its shape, changed alike under the condition."""
+    return {"w": f"CASE WHEN {condition} THEN {word} ELSE w END", "cv": f"CASE WHEN {condition} THEN {shape} ELSE cv END"}
 
-def _replacing(rules: dict[str, str]) -> str:
-    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items())
-    return f"CASE WHEN s <> '' AND {_measure('left(cv, length(w) - length(s))')} > 0 THEN concat(left(w, length(w) - length(s)), CASE s {cases} END) ELSE w END"
 
+def _replacing(rules: dict[str, str]) -> dict[str, str]:
+    new, shape = (f"CASE s {' '.join(f'WHEN {a!r} THEN {f(b)!r}' for a, b in rules.items())} END" for f in (str, _shape))
+    return _both(f"s <> '' AND {_measure(_but('cv', 'length(s)'))} > 0", f"concat({_but('w', 'length(s)')}, {new})", f"concat({_but('cv', 'length(s)')}, {shape})")
 
-def steps(dialect: str = "spark") -> list[dict[str, str]]:
-    """Projections from ``token``: each gives all columns that the next reads (token is carried along)."""
-    shape = shape_sql("w", dialect)
-    suffix = "regexp_extract(w, '({})$', 1)"
-    at_y = f"CASE WHEN w LIKE '%y' AND {_cut('cv', 1)} LIKE '%v%' THEN concat({_cut('w', 1)}, 'i') ELSE w END"
-    s4 = f"CASE WHEN s <> '' AND {_measure('left(cv, length(w) - length(s))')} > 1 AND (s <> 'ion' OR right(left(w, length(w) - 3), 1) IN ('s', 't')) THEN left(w, length(w) - length(s)) ELSE w END"
-    e = f"CASE WHEN w LIKE '%e' AND ({_measure(_cut('cv', 1))} > 1 OR ({_measure(_cut('cv', 1))} = 1 AND NOT {_cvc(_cut('w', 1), _cut('cv', 1))})) THEN {_cut('w', 1)} ELSE w END"
+
+def steps() -> list[dict[str, str]]:
+    """Projections from ``token``: each gives all columns that the next reads (token is carried along). The shape is found
+    once; a suffix goes from both, and what is put in its place has a known shape."""
+    stem_of = {n: f"contains({_but('cv', n)}, 'v')" for n in (1, 2, 3)}
+    keep = {"w": "w", "cv": "cv"}
+    s4 = f"s <> '' AND {_measure(_but('cv', 'length(s)'))} > 1 AND (s <> 'ion' OR right({_but('w', 3)}, 1) IN ('s', 't'))"
+    m5 = _measure(_but("cv", 1))
+    e = f"endswith(w, 'e') AND ({m5} > 1 OR ({m5} = 1 AND NOT {_short(_but('w', 1), _but('cv', 1))}))"
+    twice = "(length(w) >= 2 AND right(w, 1) = left(right(w, 2), 1) AND right(cv, 1) = 'c' AND right(w, 1) NOT IN ('l', 's', 'z'))"
     return [
-        {"w": f"CASE WHEN token LIKE '%sses' OR token LIKE '%ies' THEN {_cut('token', 2)} WHEN token LIKE '%ss' THEN token WHEN token LIKE '%s' THEN {_cut('token', 1)} ELSE token END"},
-        {"w": "w", "cv": shape},
-        {
-            "b": f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_measure(_cut('cv', 3))} > 0 THEN 1 ELSE 0 END WHEN w LIKE '%ed' AND {_cut('cv', 2)} LIKE '%v%' THEN 2 WHEN w LIKE '%ing' AND {_cut('cv', 3)} LIKE '%v%' THEN 3 ELSE 0 END",
-            "w": "w", "cv": "cv",
-        },
-        {"b": "b", "w": "left(w, length(w) - b)", "cv": "left(cv, length(cv) - b)"},
-        {
-            "w": f"CASE WHEN b < 2 THEN w WHEN w LIKE '%at' OR w LIKE '%bl' OR w LIKE '%iz' THEN concat(w, 'e') WHEN {_double('w', 'cv')} AND right(w, 1) NOT IN ('l', 's', 'z') THEN {_cut('w', 1)} WHEN {_measure('cv')} = 1 AND {_cvc('w', 'cv')} THEN concat(w, 'e') ELSE w END",
-        },
-        {"w": "w", "cv": shape},
-        {"w": at_y},
-        {"w": "w", "cv": shape, "s": suffix.format("|".join(STEP2))},
-        {"w": _replacing(STEP2)},
-        {"w": "w", "cv": shape, "s": suffix.format("|".join(STEP3))},
-        {"w": _replacing(STEP3)},
-        {"w": "w", "cv": shape, "s": suffix.format("|".join(STEP4))},
-        {"w": s4},
-        {"w": "w", "cv": shape},
-        {"w": e},
-        {"w": "w", "cv": shape},
-        {"stem": f"CASE WHEN length(token) <= 2 THEN token WHEN w LIKE '%ll' AND {_measure('cv')} > 1 THEN {_cut('w', 1)} ELSE w END"},
+        {"cv": shape_sql("token"), "b": "CASE WHEN endswith(token, 'sses') OR endswith(token, 'ies') THEN 2 WHEN endswith(token, 's') AND NOT endswith(token, 'ss') THEN 1 ELSE 0 END"},
+        {"w": _but("token", "b"), "cv": _but("cv", "b")},
+        {**keep, "b": f"CASE WHEN endswith(w, 'eed') THEN CASE WHEN {_measure(_but('cv', 3))} > 0 THEN 1 ELSE 0 END WHEN endswith(w, 'ed') AND {stem_of[2]} THEN 2 WHEN endswith(w, 'ing') AND {stem_of[3]} THEN 3 ELSE 0 END"},
+        {"w": _but("w", "b"), "cv": _but("cv", "b"), "b": "b"},
+        {**keep, "b": f"CASE WHEN b < 2 THEN 0 WHEN endswith(w, 'at') OR endswith(w, 'bl') OR endswith(w, 'iz') THEN 1 WHEN {twice} THEN -1 WHEN {_measure('cv')} = 1 AND {_short('w', 'cv')} THEN 1 ELSE 0 END"},
+        {"w": f"CASE b WHEN 1 THEN concat(w, 'e') WHEN -1 THEN {_but('w', 1)} ELSE w END", "cv": f"CASE b WHEN 1 THEN concat(cv, 'v') WHEN -1 THEN {_but('cv', 1)} ELSE cv END"},
+        _both(f"endswith(w, 'y') AND {stem_of[1]}", f"concat({_but('w', 1)}, 'i')", f"concat({_but('cv', 1)}, 'v')"),
+        {**keep, "s": _ending(STEP2)},
+        _replacing(STEP2),
+        {**keep, "s": _ending(STEP3)},
+        _replacing(STEP3),
+        {**keep, "s": _ending(STEP4)},
+        _both(s4, _but("w", "length(s)"), _but("cv", "length(s)")),
+        _both(e, _but("w", 1), _but("cv", 1)),
+        {"stem": f"CASE WHEN length(token) <= 2 THEN token WHEN endswith(w, 'll') AND {_measure('cv')} > 1 THEN {_but('w', 1)} ELSE w END"},
     ]
 
 
 def with_stem(words: DataFrame, column: str = "token") -> DataFrame:
     """Distinct lower-case words in ``column`` -> (token, stem), as Columns alone."""
     out = words.selectExpr(f"`{column}` AS token")
-    for step in steps("spark"):
+    for step in steps():
         out = out.selectExpr("token", *(f"{e} AS {k}" for k, e in step.items()))
     return out
 
 
-def ctes(source: str, name: str = "voc") -> str:
-    """DuckDB CTEs that end in ``name`` (token, stem) for the tokens of ``source``."""
-    parts, last = [], source
-    chain = steps("duckdb")
-    for i, step in enumerate(chain):
-        own = name if i == len(chain) - 1 else f"{name}_{i}"
-        parts.append(f"{own} AS (SELECT token, {', '.join(f'{e} AS {k}' for k, e in step.items())} FROM {last})")
-        last = own
-    return ",\n".join(parts)
-
-
-def _shape(word: str) -> str:
-    out = ""
-    for c in word:
-        out += "v" if c in "aeiou" or (c == "y" and out.endswith("c")) else "c"
-    return out
+_ENDINGS = {name: re.compile(f"(?:{'|'.join(rules)})$") for name, rules in ((2, STEP2), (3, STEP3), (4, STEP4))}
 
 
-def _longest(word: str, suffixes) -> str:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
+def _longest(word: str, step: int) -> str:
+    found = _ENDINGS[step].search(word)  # the leftmost match of an end is the longest
+    return found[0] if found else ""
 
 
 @lru_cache(maxsize=1 << 18)
@@ -143,10 +148,10 @@ def stem(word: str) -> str:
                 break
     if w.endswith("y") and "v" in _shape(w)[:-1]:
         w = w[:-1] + "i"
-    for rules in (STEP2, STEP3):
-        if (end := _longest(w, rules)) and m(_shape(w)[: -len(end)]):
+    for step, rules in ((2, STEP2), (3, STEP3)):
+        if (end := _longest(w, step)) and m(_shape(w)[: -len(end)]):
             w = w[: -len(end)] + rules[end]
-    if (end := _longest(w, STEP4)) and m(_shape(w)[: -len(end)]) > 1 and (end != "ion" or w[:-3].endswith(("s", "t"))):
+    if (end := _longest(w, 4)) and m(_shape(w)[: -len(end)]) > 1 and (end != "ion" or w[:-3].endswith(("s", "t"))):
         w = w[: -len(end)]
     if w.endswith("e"):
         s = _shape(w)[:-1]

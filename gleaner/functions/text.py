@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,52 +52,87 @@ def tokenize(text: str) -> list[str]:
 
 
 def analyze(text: str) -> dict[str, list[int]]:
-    """Stem -> ascending positions in the whole token stream; stopwords take a place and are left out."""
-    out: dict[str, list[int]] = {}
-    for pos, token in enumerate(tokenize(text)):
-        if token not in _STOP:
-            out.setdefault(stem(token), []).append(pos)
-    return out
-
-
-POSTINGS = "doc_id bigint, term string, tf int, positions array<int>"
+    """Stem -> ascending positions in the whole token stream of one text; stopwords take a place and are left out."""
+    (rows,) = _postings(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([text])], ["doc_id", "text"])]))
+    places = dict(zip(rows.column("term").to_pylist(), rows.column("positions").to_pylist(), strict=True))
+    return dict(sorted(places.items(), key=lambda x: x[1]))
+
+
+POSTINGS = "doc_id bigint, term string, tf int, positions array<int>, length int"
+
+_TOKEN_BYTE = np.zeros(256, dtype=bool)
+_TOKEN_BYTE[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+#: Bytes of text that are taken together.
+PIECE = 1 << 23
+
+
+def _lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased texts, one after another, and the n + 1 offsets. Arrow gives the capital dotted I another
+    lower case than Spark and Python do, so texts with it go through Python."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring(texts, "\u0130")).as_py():
+        texts = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())
+    texts = pc.utf8_lower(texts)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _of_batch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """POSTINGS of a batch: each distinct token is stemmed once, and one sort by (row, stem) makes the lists."""
+    data, offsets = _lower(texts)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = _TOKEN_BYTE[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)  # a token ends where its text ends
+    cut[offsets] = True
+    first = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    row = np.searchsorted(offsets, first, "right") - 1
+    begin = np.searchsorted(first, offsets)
+    position = (np.arange(len(first)) - begin[row]).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(end - first)))
+    tokens = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside[1:-1]])))
+    coded = tokens.dictionary_encode()
+    stems = pa.array([None if t in _STOP else stem(t) for t in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    number = stems.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy()] if len(first) else np.zeros(0, np.int64)
+    kept = number >= 0
+    row, position, number = row[kept], position[kept], number[kept]
+    key = row * max(1, len(stems.dictionary)) + number
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    bounds = np.append(start, len(key)).astype(np.int32)
+    own = row[order][start]
+    length = np.bincount(row, minlength=len(texts)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(own)), stems.dictionary.take(pa.array(number[order][start])), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(position[order])), pa.array(length[own])],
+        ["doc_id", "term", "tf", "positions", "length"],
+    )
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, terms, tfs, positions = [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = analyze(text or "")
-            ids += [doc_id] * len(found)
-            terms += found.keys()
-            tfs += map(len, found.values())
-            positions += found.values()
-            if len(ids) > 1 << 17:
-                yield _batch(ids, terms, tfs, positions)
-                ids, terms, tfs, positions = [], [], [], []
-        yield _batch(ids, terms, tfs, positions)
-
-
-def _batch(ids: list, terms: list, tfs: list, positions: list) -> pa.RecordBatch:
-    columns = [pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(positions, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "tf", "positions"])
-
-
-#: Input for each core up to which it is dealt anew.
-SMALL_BYTES = 32 << 20
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE)))
+            piece = batch.slice(at, upto - at)
+            yield _of_batch(piece.column(0), piece.column(1))
+            at = upto
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it is small by the optimizer's estimate, as it may come in one file; large inputs, and those
-    of unknown size, stay as they are. Nothing is run to find out."""
+    """``df`` over all cores if it comes in fewer splits than there are cores: it is then at most so many splits large. Others
+    stay as they are. Only the plan is made to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
 def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, positions), one row for each term of each document.
+    """(doc_id, term, tf, positions, length), one row for each term of each document; length is the document's.
 
-    A document's tokens lie in one row, so its postings are made there, in Arrow batches with a memo of stems: nothing is
-    shuffled, where exploding tokens, joining stems and grouping again would move every token of the corpus twice."""
+    A document's tokens lie in one row, so its postings are made there, a batch of documents at a time, each distinct token of
+    a batch stemmed once: nothing is shuffled, where exploding tokens, joining stems and grouping again would move every token
+    of the corpus twice."""
     return spread(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_postings, POSTINGS)

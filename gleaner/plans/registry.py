@@ -15,7 +15,7 @@ from gleaner.sources.scratch import new_path, stored
 from gleaner.sources.store import Store, counts
 from gleaner.streaming import ingest
 
-from . import sql
+from . import sql, stems
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,7 +56,7 @@ def stopword_filter(spark, sf_dir):
     return text.token_positions(_documents(spark, sf_dir)).where(~text.is_stopword(F.col("token")))
 
 
-@query(f"WITH {sql.tokens()}, dtok AS (SELECT DISTINCT token FROM tok), {porter.ctes('dtok')} SELECT token, stem FROM voc")
+@query(f"WITH {sql.tokens()}, dtok AS (SELECT DISTINCT token FROM tok), {stems.ctes('dtok')} SELECT token, stem FROM voc")
 def porter_vocab(spark, sf_dir):
     return porter.with_stem(text.token_positions(_documents(spark, sf_dir)).select("token").distinct())
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.functions import porter
 from gleaner.functions.text import STOPWORDS
 from gleaner.functions.urls import TRACKING
 from gleaner.operators.search import parse_query
 
+from . import stems
+
 STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|section|article|header|footer|blockquote|pre|nav|aside|form|hr"
 
@@ -20,7 +21,7 @@ def index(source: str = "documents", id_column: str = "doc_id", text: str = "tex
     """CTEs: tok, voc, post (doc_id, term, pos), p (doc_id, term, tf), len (doc_id, length), st (n_docs, total_length, avgdl)."""
     return f"""{tokens(source, id_column, text)},
     dtok AS (SELECT DISTINCT token FROM tok WHERE token NOT IN {STOP}),
-    {porter.ctes("dtok")},
+    {stems.ctes("dtok")},
     post AS (SELECT t.doc_id, v.stem AS term, t.pos FROM tok t JOIN voc v ON t.token = v.token),
     p AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM post GROUP BY ALL),
     len AS (SELECT d.{id_column} AS doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS length FROM {source} d LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id) s ON d.{id_column} = s.doc_id),
