@@ -63,8 +63,12 @@ def in_ranges(df: DataFrame, order: str, amount: Column | None = None) -> tuple[
 
 @dataclass(frozen=True)
 class Index:
+    """df, totals: document frequencies and the row of statistics where they are stored; else they are counted."""
+
     docs: DataFrame
     postings: DataFrame
+    df: DataFrame | None = None
+    totals: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
@@ -78,16 +82,21 @@ class Index:
 
     @property
     def terms(self) -> DataFrame:
-        return doc_frequency(self.postings)
+        return doc_frequency(self.postings) if self.df is None else self.df
 
     @property
     def stats(self) -> DataFrame:
-        return corpus_stats(self.docs)
+        return corpus_stats(self.docs) if self.totals is None else self.totals
 
     def add(self, other: Index) -> Index:
         """The union; the other's ids must be new."""
         return Index(self.docs.unionByName(other.docs), self.postings.unionByName(other.postings))
 
+    def restore(self, docs: DataFrame) -> Index:
+        """docs (doc_id, url, title, text) under the ids that they had; what the index holds under these ids goes."""
+        back, gone = Index.build(docs), docs.select("doc_id")
+        return Index(*(own.join(gone, "doc_id", "left_anti").select(new.columns) for own, new in ((self.docs, back.docs), (self.postings, back.postings)))).add(back)
+
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` whose doc_id is in ``b``."""

@@ -117,19 +117,26 @@ def unite_postings(spark, sf_dir):
 
 # -- search --
 
+
+def _each(*stems: str) -> list[list[tuple[str, int]]]:
+    return [[(t, 0)] for t in stems]
+
+
+_NONE = "SELECT CAST(0 AS INTEGER) AS rank, CAST(0 AS BIGINT) AS doc_id, CAST(0 AS DOUBLE) AS score WHERE false"
+#: The query, what it means as the SQL has it, and how it is asked besides.
 SEARCHES = {
-    "search_single": ("tion",),
-    "search_and": ("tion thon erin",),
-    "search_or": ("ndthe OR outr OR ingan",),
-    "search_phrase": ('"anea eriner thanea"',),
-    "search_phrase_gap": ('"attion to thanedble the anea"',),
-    "search_phrase_plus_term": ('"anea eriner" tion',),
-    "search_phrase_or_term": ('"anea eriner" OR quer',),
-    "search_compound_word": ("anea-eriner",),
-    "search_unknown_term": ("tion xyzzy",),
-    "search_stopwords_only": ("the of",),
-    "search_bm25_k1_zero": ("tion thon", 10, 0.0),
-    "search_bm25_b_zero": ("tion thon", 10, 1.5, 0.0),
+    "search_single": ("tion", (_each("tion"), True)),
+    "search_and": ("tion thon erin", (_each("tion", "thon", "erin"), True)),
+    "search_or": ("ndthe OR outr OR ingan", (_each("ndthe", "outr", "ingan"), False)),
+    "search_phrase": ('"anea eriner thanea"', ([[("anea", 0), ("erin", 1), ("thanea", 2)]], True)),
+    "search_phrase_gap": ('"attion to thanedble the anea"', ([[("attion", 0), ("thanedbl", 2), ("anea", 4)]], True)),
+    "search_phrase_plus_term": ('"anea eriner" tion', ([[("anea", 0), ("erin", 1)], [("tion", 0)]], True)),
+    "search_phrase_or_term": ('"anea eriner" OR quer', ([[("anea", 0), ("erin", 1)], [("quer", 0)]], False)),
+    "search_compound_word": ("anea-eriner", (_each("anea", "erin"), True)),
+    "search_unknown_term": ("tion xyzzy", (_each("tion", "xyzzi"), True)),
+    "search_stopwords_only": ("the of", None),
+    "search_bm25_k1_zero": ("tion thon", (_each("tion", "thon"), True), 10, 0.0),
+    "search_bm25_b_zero": ("tion thon", (_each("tion", "thon"), True), 10, 1.5, 0.0),
 }
 
 
@@ -137,26 +144,28 @@ def _stored_postings(spark, sf_dir):
     return stored(_posted(spark, sf_dir), "postings")
 
 
-def _search(spark, sf_dir, asked):
+def _search(spark, sf_dir, q, how):
     posted = _stored_postings(spark, sf_dir)
-    return search.rank_documents(posted, index.doc_lengths(_documents(spark, sf_dir), posted), *asked)
+    return search.rank_documents(posted, index.doc_lengths(_documents(spark, sf_dir), posted), q, *how)
 
 
-for _name, _asked in SEARCHES.items():
-    _none = not search.parse_query(_asked[0])[0]
-    _empty = "SELECT CAST(0 AS INTEGER) AS rank, CAST(0 AS BIGINT) AS doc_id, CAST(0 AS DOUBLE) AS score WHERE false"
-    query(_empty if _none else sql.search(*_asked), _name)(partial(_search, asked=_asked))
+for _name, (_q, _meant, *_how) in SEARCHES.items():
+    query(_NONE if _meant is None else sql.search(_meant, *_how), _name)(partial(_search, q=_q, how=_how))
 
 BATCH = [(1, "tion"), (2, "thon erin"), (3, '"anea eriner"'), (4, "quer OR outr"), (5, "atti enor"), (6, '"attion to thanedble" tion'), (7, "ersch OR ensch"), (8, "xyzzy")]
+_BATCH_MEANT = [
+    (1, (_each("tion"), True)), (2, (_each("thon", "erin"), True)), (3, ([[("anea", 0), ("erin", 1)]], True)), (4, (_each("quer", "outr"), False)),
+    (5, (_each("atti", "enor"), True)), (6, ([[("attion", 0), ("thanedbl", 2)], [("tion", 0)]], True)), (7, (_each("ersch", "ensch"), False)), (8, (_each("xyzzi"), True)),
+]
 
 
-@query(sql.batch(BATCH))
+@query(sql.batch(_BATCH_MEANT))
 def search_batch(spark, sf_dir):
     posted = _stored_postings(spark, sf_dir)
     return search.rank_batch(posted, index.doc_lengths(_documents(spark, sf_dir), posted), BATCH)
 
 
-@query(sql.snippets("quer outr"))
+@query(sql.snippets((_each("quer", "outr"), True)))
 def snippets(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return search.search(index.Index.build(docs, partial(stored, label="postings")), "quer outr").select("doc_id", "snippet")
@@ -207,7 +216,7 @@ def extract_text(spark, sf_dir):
 PAGE_QUERY = "erin OR ment"
 
 
-@query(sql.search(PAGE_QUERY, before=f"{sql.PAGES}, pgt AS (SELECT page_id AS doc_id, url, title, CASE WHEN title <> '' THEN concat(title, ' ', text) ELSE text END AS body FROM pg), ", source="pgt", text="body", hits_only=True) + " SELECT h.rank, g.url, g.title, h.score FROM hits h JOIN pgt g ON g.doc_id = h.doc_id")
+@query(sql.search((_each("erin", "ment"), False), before=f"{sql.PAGES}, pgt AS (SELECT page_id AS doc_id, url, title, CASE WHEN title <> '' THEN concat(title, ' ', text) ELSE text END AS body FROM pg), ", source="pgt", text="body", hits_only=True) + " SELECT h.rank, g.url, g.title, h.score FROM hits h JOIN pgt g ON g.doc_id = h.doc_id")
 def pages_search(spark, sf_dir):
     docs = _pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), "url", "title", "text")
     return search.search(index.Index.build(docs, partial(stored, label="postings")), PAGE_QUERY).select("rank", "url", "title", "score")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from gleaner.functions.text import STOPWORDS
 from gleaner.functions.urls import TRACKING
-from gleaner.operators.search import parse_query
 
 from . import stems
 
@@ -28,48 +27,50 @@ def index(source: str = "documents", id_column: str = "doc_id", text: str = "tex
     st AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(length), 0) AS BIGINT) AS total_length, coalesce(sum(length) / CAST(count(*) AS DOUBLE), 0.0) AS avgdl FROM len)"""
 
 
-def matched(groups, every: bool) -> str:
+#: A query as the SQL has it, written out by hand: groups of (stem, offset), and whether all must match.
+Asked = tuple[list[list[tuple[str, int]]], bool]
+
+
+def matched(groups: list[list[tuple[str, int]]], every: bool) -> str:
     parts = []
     for g in groups:
-        if g.is_phrase:
-            joins = " ".join(f"JOIN post p{i} ON p{i}.doc_id = p0.doc_id AND p{i}.pos = p0.pos + {o} AND p{i}.term = '{t}'" for i, (t, o) in enumerate(zip(g.terms, g.offsets, strict=True)) if i)
-            parts.append(f"(SELECT DISTINCT p0.doc_id FROM post p0 {joins} WHERE p0.term = '{g.terms[0]}')")
+        if len(g) > 1:
+            joins = " ".join(f"JOIN post p{i} ON p{i}.doc_id = p0.doc_id AND p{i}.pos = p0.pos + {o} AND p{i}.term = '{t}'" for i, (t, o) in enumerate(g) if i)
+            parts.append(f"(SELECT DISTINCT p0.doc_id FROM post p0 {joins} WHERE p0.term = '{g[0][0]}')")
         else:
-            parts.append(f"(SELECT DISTINCT doc_id FROM p WHERE term = '{g.terms[0]}')")
+            parts.append(f"(SELECT DISTINCT doc_id FROM p WHERE term = '{g[0][0]}')")
     return (" INTERSECT " if every else " UNION ").join(parts)
 
 
 def scores(terms, k1: float, b: float) -> str:
     names = ", ".join(f"'{t}'" for t in sorted(terms))
     return f"""SELECT p.doc_id, round(sum(ln(1.0 + (st.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * ({k1} + 1.0)
-        / (p.tf + {k1} * ((1.0 - {b}) + {b} * len.length / CASE WHEN st.avgdl = 0 THEN 1.0 ELSE st.avgdl END))), 6) AS score
+        / (p.tf + {k1} * ((1.0 - {b}) + {b} * len.length / CASE WHEN st.avgdl = 0 THEN 1.0 ELSE st.avgdl END))), 12) AS score
       FROM p JOIN len ON p.doc_id = len.doc_id JOIN (SELECT term, count(*) AS df FROM p GROUP BY term) d ON d.term = p.term CROSS JOIN st
       WHERE p.term IN ({names}) GROUP BY p.doc_id"""
 
 
-def search(q: str, limit: int = 10, k1: float = 1.5, b: float = 0.75, source: str = "documents", id_column: str = "doc_id", text: str = "text", before: str = "", hits_only: bool = False) -> str:
-    groups, every = parse_query(q)
-    terms = {t for g in groups for t in g.terms}
+def search(asked: Asked, limit: int = 10, k1: float = 1.5, b: float = 0.75, source: str = "documents", id_column: str = "doc_id", text: str = "text", before: str = "", hits_only: bool = False) -> str:
+    groups, every = asked
+    terms = {t for g in groups for t, _ in g}
     ctes = f"""WITH {before}{index(source, id_column, text)},
     m AS ({matched(groups, every)}), s AS ({scores(terms, k1, b)}),
-    hits AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE doc_id IN (SELECT doc_id FROM m) ORDER BY score DESC, doc_id LIMIT {limit})"""
+    hits AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM s WHERE doc_id IN (SELECT doc_id FROM m) ORDER BY s.score DESC, doc_id LIMIT {limit})"""
     return ctes if hits_only else ctes + " SELECT rank, doc_id, score FROM hits"
 
 
-def batch(queries: list[tuple[int, str]], limit: int = 10) -> str:
+def batch(queries: list[tuple[int, Asked]], limit: int = 10) -> str:
     parts = []
-    for i, q in queries:
-        groups, every = parse_query(q)
-        terms = {t for g in groups for t in g.terms}
-        parts.append(f"""SELECT CAST({i} AS BIGINT) AS query_id, rank, doc_id, score FROM (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    for i, (groups, every) in queries:
+        terms = {t for g in groups for t, _ in g}
+        parts.append(f"""SELECT CAST({i} AS BIGINT) AS query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
           FROM ({scores(terms, 1.5, 0.75)}) WHERE doc_id IN ({matched(groups, every)})) WHERE rank <= {limit}""")
     return f"WITH {index()} " + " UNION ALL ".join(parts)
 
 
-def snippets(q: str, limit: int = 10, width: int = 30) -> str:
-    groups, _ = parse_query(q)
-    names = ", ".join(f"'{t}'" for g in groups for t in g.terms)
-    return search(q, limit, hits_only=True) + f""",
+def snippets(asked: Asked, limit: int = 10, width: int = 30) -> str:
+    names = ", ".join(f"'{t}'" for g in asked[0] for t, _ in g)
+    return search(asked, limit, hits_only=True) + f""",
     w AS (SELECT h.doc_id, list_filter(string_split_regex(d.text, '\\s+'), lambda x: x <> '') AS words FROM hits h JOIN documents d ON d.doc_id = h.doc_id),
     firsts AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(list_transform(words, lambda x: regexp_extract(lower(x), '[a-z0-9]+'))) AS token FROM w),
     hit AS (SELECT f.doc_id, min(f.i) AS i FROM firsts f JOIN voc v ON v.token = f.token WHERE v.stem IN ({names}) GROUP BY f.doc_id),

@@ -15,6 +15,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir; below an own temporary folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _made.setdefault("", tempfile.mkdtemp(prefix="gleaner-"))
     path = f"{base.rstrip('/')}/gleaner-{spark.sparkContext.applicationId}"
     if path not in _made:
@@ -32,6 +34,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads no more than are needed to tell."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

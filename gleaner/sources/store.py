@@ -1,7 +1,10 @@
-"""The index in Parquet.
+"""The index in Parquet, in segments.
 
-``docs`` and ``postings`` are kept in versions; a small pointer table names the current ones. Postings are range-partitioned
-and sorted by term, so that a search reads the row groups of its terms alone.
+A write adds one segment - its documents, its postings (range-partitioned and sorted by term, so that a search reads the row
+groups of its terms alone), its terms' document frequencies and the ids that it takes out of earlier segments - and one row of
+the manifest, with which it becomes visible. The row names the live segments and holds the sums of the whole: number of
+documents, length, last id, and the last batch of each stream that is in. So a write costs what it adds, whatever the store
+holds; a replaced document's frequencies are subtracted by the segment that replaces it. ``compact`` makes one segment of all.
 """
 
 from __future__ import annotations
@@ -10,17 +13,28 @@ import uuid
 from dataclasses import dataclass
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import combined_text, postings
 from gleaner.operators.dedup import digest
-from gleaner.operators.index import Index, assign_ids, doc_frequency
+from gleaner.operators.index import Index, assign_ids
 
-from .scratch import stored
+from .scratch import small_enough, stored
 
 DOCS = "doc_id bigint, url string, title string, text string, length bigint, content_hash string, fetched_at timestamp"
-POSTINGS = "doc_id bigint, term string, tf int, positions array<int>"
-POINTER = "docs string, postings string, version bigint"
+POSTINGS = "doc_id bigint, term string, tf int, positions array<int>, length int"
+TERMS = "term string, df bigint"
+GONE = "doc_id bigint"
+MANIFEST = "version bigint, segments array<string>, n_docs bigint, total_length bigint, last_id bigint, replaces boolean, batches map<string,bigint>"
+_EMPTY = {"version": 0, "segments": [], "n_docs": 0, "total_length": 0, "last_id": 0, "replaces": False, "batches": {}}
+#: Replaced ids up to which they are broadcast to the readers of documents and postings.
+BROADCAST_GONE = 1_000_000
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -28,66 +42,107 @@ class Store:
     spark: SparkSession
     path: str
 
-    def _current(self) -> tuple[str, str, int] | None:
+    def manifest(self) -> dict:
+        """The current row; that of an empty store if nothing was ever written."""
         try:
-            row = self.spark.read.schema(POINTER).parquet(f"{self.path}/current").orderBy(F.desc("version")).first()
-        except Exception as e:  # noqa: BLE001  a store that was never written
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        return None if row is None else (row["docs"], row["postings"], row["version"])
-
-    def _write(self, docs: DataFrame, postings: DataFrame) -> None:
-        """Both tables as a new version; readers see it when the pointer row is in."""
-        last = self._current()
-        version = 1 if last is None else last[2] + 1
-        name = f"v{version}-{uuid.uuid4().hex[:8]}"
-        docs.select(*(f"{c.split()[0]}" for c in DOCS.split(", "))).write.parquet(f"{self.path}/docs/{name}")
-        postings.select("doc_id", "term", "tf", "positions").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/postings/{name}")
-        self.spark.createDataFrame([(name, name, version)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/current")
+            row = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            row = None
+        return _EMPTY if row is None else row.asDict()
+
+    def _read(self, kind: str, schema: str, segments: list[str]) -> DataFrame:
+        """The rows of some segments, with the segment's name."""
+        if not segments:
+            return self.spark.createDataFrame([], f"{schema}, segment string")
+        return self.spark.read.schema(f"{schema}, segment string").option("basePath", f"{self.path}/{kind}").parquet(*(f"{self.path}/{kind}/segment={s}" for s in segments))
+
+    def _write(self, new: Index, now: dict, keep: list[str], gone: DataFrame | None = None, taken: tuple[int, int] = (0, 0), lost: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+        """``new`` as a segment after those to ``keep``. gone: ids that it takes out of them, with ``taken`` documents and their
+        length, and ``lost`` (term, df) their terms."""
+        version = now["version"] + 1
+        name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
+        at = {kind: f"{self.path}/{kind}/segment={name}" for kind in ("docs", "postings", "terms", "gone")}
+        new.docs.select(*_names(DOCS)).write.parquet(at["docs"])
+        new.postings.select(*_names(POSTINGS)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(at["postings"])
+        own = self.spark.read.schema(POSTINGS).parquet(at["postings"])
+        terms = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if lost is not None:
+            terms = terms.unionByName(lost.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at["terms"])
+        if gone is not None:
+            gone.select("doc_id").write.parquet(at["gone"])
+        added = self.spark.read.schema(DOCS).parquet(at["docs"]).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("last")).first()
+        base = now if keep else _EMPTY
+        row = {
+            "version": version, "segments": [*keep, name], "n_docs": base["n_docs"] + added["n"] - taken[0], "total_length": base["total_length"] + added["length"] - taken[1],
+            "last_id": max(base["last_id"], added["last"]), "replaces": bool(base["replaces"] or gone is not None), "batches": {**now["batches"], **({batch[0]: batch[1]} if batch else {})},
+        }
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     @staticmethod
-    def _stamped(docs: DataFrame) -> DataFrame:
-        docs = docs.withColumn("content_hash", digest(F.col("text")))
-        return docs if "fetched_at" in docs.columns else docs.withColumn("fetched_at", F.current_timestamp())
+    def _stamped(new: Index) -> Index:
+        docs = new.docs.withColumn("content_hash", digest(F.col("text")))
+        return Index(docs if "fetched_at" in docs.columns else docs.withColumn("fetched_at", F.current_timestamp()), new.postings)
 
     def save(self, index: Index) -> None:
-        self._write(self._stamped(index.docs), index.postings)
+        """``index`` in place of all."""
+        self._write(self._stamped(index), self.manifest(), [])
 
     def load(self) -> Index:
         """The current version, read lazily."""
-        now = self._current()
-        if now is None:
-            return Index(self.spark.createDataFrame([], DOCS), self.spark.createDataFrame([], POSTINGS))
-        return Index(self.spark.read.schema(DOCS).parquet(f"{self.path}/docs/{now[0]}"), self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings/{now[1]}"))
+        now = self.manifest()
+        segments = now["segments"]
+        docs, postings, terms = (self._read(kind, schema, segments) for kind, schema in (("docs", DOCS), ("postings", POSTINGS), ("terms", TERMS)))
+        if now["replaces"]:
+            gone = self._read("gone", GONE, segments[1:]).groupBy("doc_id").agg(F.max("segment").alias("_since"))
+            gone = F.broadcast(gone) if small_enough(gone, BROADCAST_GONE) else gone
+            docs, postings = (df.join(gone, "doc_id", "left").where(F.col("_since").isNull() | (F.col("segment") >= F.col("_since"))) for df in (docs, postings))
+        if len(segments) > 1:
+            terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        totals = self.spark.createDataFrame([(now["n_docs"], now["total_length"], now["total_length"] / now["n_docs"] if now["n_docs"] else 0.0)], "n_docs bigint, total_length bigint, avgdl double")
+        return Index(docs.select(*_names(DOCS)), postings.select(*_names(POSTINGS)), terms.select("term", "df"), totals)
+
+    def scan(self) -> DataFrame:
+        """Documents in the order of their ids."""
+        return self.load().docs.orderBy("doc_id")
 
     def next_id(self) -> int:
-        return (self.load().docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+        return self.manifest()["last_id"] + 1
 
-    def append(self, docs: DataFrame, order: str) -> None:
-        """docs (url, title, text): new ids after those of the store, whatever their URLs."""
-        new = Index.build(stored(assign_ids(docs, order, self.next_id() - 1), "docs"), partial(stored, label="postings"))
-        old = self.load()
-        self._write(old.docs.unionByName(self._stamped(new.docs)), old.postings.unionByName(new.postings))
+    def last_batch(self, stream: str) -> int:
+        """The last batch of a stream that is in; -1 if none is."""
+        return self.manifest()["batches"].get(stream, -1)
+
+    def append(self, docs: DataFrame, order: str, batch: tuple[str, int] | None = None) -> int:
+        """docs (url, title, text): new ids after those of the store, whatever their URLs; the number of documents. batch:
+        stream and number of the batch that they are; it becomes visible with them."""
+        now = self.manifest()
+        new = Index.build(stored(assign_ids(docs, order, now["last_id"]), "docs"), partial(stored, label="postings"))
+        self._write(self._stamped(new), now, now["segments"], batch=batch)
+        return self.manifest()["n_docs"] - now["n_docs"]
 
     def upsert(self, docs: DataFrame, order: str) -> None:
-        """docs (url, title, text): a known URL keeps its id and gets the new content, its old postings go; document
-        frequencies follow, as they are counted from the postings. The last of several rows of a URL counts."""
-        old = self.load()
-        last = docs.groupBy("url").agg(F.max_by(F.struct("title", "text", order), order).alias("d")).select("url", "d.*")
-        known = last.join(old.docs.select("url", "doc_id"), "url")
-        fresh = assign_ids(last.join(old.docs.select("url"), "url", "left_anti"), order, self.next_id() - 1)
+        """docs (url, title, text): a known URL keeps its id and gets the new content, its old postings and their share of the
+        frequencies go. The last of several rows of a URL counts."""
+        now, old = self.manifest(), self.load()
+        last = stored(docs.groupBy("url").agg(F.max_by(F.struct("title", "text", order), order).alias("d")).select("url", "d.*"), "upsert")
+        known = stored(old.docs.select("url", "doc_id", "length", F.col("title").alias("old_title"), F.col("text").alias("old_text")).join(last, "url"), "upsert-known")
+        fresh = assign_ids(last.join(known.select("url"), "url", "left_anti"), order, now["last_id"])
         new = known.select("doc_id", "url", "title", "text").unionByName(fresh.select("doc_id", "url", "title", "text"))
         new = Index.build(stored(new, "docs"), partial(stored, label="postings"))
-        gone = known.select("doc_id")
-        self._write(
-            old.docs.join(gone, "doc_id", "left_anti").unionByName(self._stamped(new.docs)),
-            old.postings.join(gone, "doc_id", "left_anti").unionByName(new.postings),
-        )
+        taken = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+        lost = postings(known.select("doc_id", combined_text(F.col("old_title"), F.col("old_text")).alias("text"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self._write(self._stamped(new), now, now["segments"], known.select("doc_id"), (taken["n"], taken["length"]), lost)
 
     def clear(self) -> None:
         """An empty version; ids start again at 1."""
-        self._write(self.spark.createDataFrame([], DOCS), self.spark.createDataFrame([], POSTINGS))
+        self._write(Index(self.spark.createDataFrame([], DOCS), self.spark.createDataFrame([], POSTINGS)), self.manifest(), [])
+
+    def compact(self) -> None:
+        """One segment of all; ids stay."""
+        self.save(self.load())
 
     def counts(self) -> DataFrame:
         return counts(self.load())
@@ -95,7 +150,7 @@ class Store:
 
 def counts(index: Index) -> DataFrame:
     """(name, n): rows of documents, terms and postings."""
-    parts = (("documents", index.docs), ("terms", doc_frequency(index.postings)), ("postings", index.postings))
+    parts = (("documents", index.docs), ("terms", index.terms), ("postings", index.postings))
     out = None
     for name, df in parts:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")

@@ -1,7 +1,8 @@
 """Incremental ingest: a landing folder of parsed pages -> dedup -> analysis -> store, with Structured Streaming.
 
-Micro-batches pull as much as the rate limit lets them (back-pressure); availableNow ends when all that landed is in. The
-digests seen are stream state, kept without a time limit. A batch that is run again after a failure is not added twice.
+Micro-batches pull as much as the rate limit lets them (back-pressure); availableNow ends when all that landed is in. What
+was seen is what the store holds, by its digests. A batch becomes visible together with its number, so one that is run again
+after a failure is not added twice.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.dedup import digest
+from gleaner.operators.dedup import digest, first_seen
 from gleaner.sources.store import Store
 
 PAGES = "seq bigint, url string, title string, text string, status int"
@@ -29,36 +30,25 @@ def unique_pages(pages: DataFrame) -> DataFrame:
     return usable.withColumn("digest", digest(F.col("text"))).dropDuplicates(["digest"])
 
 
-def ingest(pages: DataFrame, store: Store, checkpoint: str, on_indexed: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Start the stream (one at a time by its name); it ends when all that landed is indexed."""
+def ingest(pages: DataFrame, store: Store, checkpoint: str, on_indexed: Callable[[int], None] | None = None, on_duplicate: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Start the stream (one at a time by its name); it ends when all that landed is indexed. on_indexed, on_duplicate: told
+    the number of new and of known texts of each batch."""
     spark = pages.sparkSession
     if any(q.name == NAME for q in spark.streams.active):
         raise RuntimeError("an ingest is running")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{checkpoint}-batches"
-        done = _markers(batch.sparkSession, marker)
-        if batch_id in done or batch.isEmpty():
+        if batch_id <= store.last_batch(checkpoint):
             return
-        old = store.load().docs.select(F.col("content_hash").alias("digest"))
-        new = batch.join(old, "digest", "left_anti")
-        store.append(new.select("seq", "url", "title", "text"), "seq")
-        batch.sparkSession.createDataFrame([(batch_id,)], "batch bigint").coalesce(1).write.mode("append").parquet(marker)
+        usable = batch.where((F.col("status") == 200) & F.col("text").isNotNull()).withColumn("_at", F.struct("seq", "url"))
+        new = first_seen(usable, "_at", seen=store.load().docs.select(F.col("content_hash").alias("digest")))
+        n = store.append(new.select("seq", "url", "title", "text"), "seq", (checkpoint, batch_id))
         if on_indexed:
-            on_indexed(new.count())
+            on_indexed(n)
+        if on_duplicate:
+            on_duplicate(usable.count() - n)
 
-    return (
-        unique_pages(pages).writeStream.queryName(NAME).foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def _markers(spark: SparkSession, path: str) -> set[int]:
-    try:
-        return {r["batch"] for r in spark.read.schema("batch bigint").parquet(path).collect()}  # a row for each batch so far
-    except Exception as e:  # noqa: BLE001  none yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return set()
-        raise
+    return pages.writeStream.queryName(NAME).foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def polite_fetch_times(requests: DataFrame, delay_s: float) -> DataFrame:

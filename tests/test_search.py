@@ -38,32 +38,39 @@ def test_semantics(corpus):
 
 
 def test_parse():
-    G = search.Group
-    assert search.parse_query('"machine learning" OR robotics') == ([G(("machin", "learn"), (0, 1)), G(("robot",))], False)
-    assert search.parse_query("the epoll of") == ([G(("epol",))], True)
-    assert search.parse_query("well-known") == ([G(("well",)), G(("known",))], True)
-    assert search.parse_query('foo"bar baz"')[0] == [G(("foo",)), G(("bar",)), G(("baz",))]
-    assert search.parse_query('"new york new"')[0] == [G(("new", "york"), (0, 1))]
-    assert search.parse_query('"the"') == ([], True)
+    def parts(q):
+        query = search.parse_query(q)
+        return [[(t.stem, t.offset) for t in g] for g in query.groups], query.every
 
+    assert parts('"machine learning" OR robotics') == ([[("machin", 0), ("learn", 1)], [("robot", 0)]], False)
+    assert parts("the epoll of") == ([[("epol", 0)]], True)
+    assert parts("well-known") == ([[("well", 0)], [("known", 0)]], True)
+    assert parts('foo"bar baz"')[0] == [[("foo", 0)], [("bar", 0)], [("baz", 0)]]
+    assert parts('"new york new"')[0] == [[("new", 0), ("york", 1)]]
+    assert parts('"the"') == ([], True)
+    assert parts('"a cat""dog day" x OR')[0] == [[("cat", 0)], [("dog", 0), ("dai", 1)], [("x", 0)]]
+    assert parts('"open end')[0] == [[("open", 0)], [("end", 0)]]
 
-def test_snippets():
+
+def test_snippets(spark):
     words = [f"w{i}" for i in range(100)]
-    got = search.make_snippet(" ".join(words), {"w50"})
-    assert got == "… " + " ".join(words[35:65]) + " …"
-    assert search.make_snippet("short text", {"x"}) == "short text"
-    assert search.make_snippet("", {"x"}) == ""
+    texts = [" ".join(words), "short text", "", None, "the  runner's\u00a0run\tRunning ends"]
+    hits = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["snippet"] for r in search.with_snippets(hits, ["w50"]).orderBy("doc_id").collect()]
+    assert got == ["… " + " ".join(words[35:65]) + " …", "short text", "", "", "the runner's run Running ends"]
+    assert search.with_snippets(hits, ["run"], 2).where("doc_id = 4").first()["snippet"] == "… runner's run …"
 
 
 def brute(docs, q, limit, k1=1.5, b=0.75):
-    groups, every = search.parse_query(q)
+    query = search.parse_query(q)
+    groups, every = [([t.stem for t in g], [t.offset for t in g]) for g in query.groups], query.every
     an = {i: analyze(t) for i, t in docs.items()}
     length = {i: sum(map(len, a.values())) for i, a in an.items()}
     avg = sum(length.values()) / len(length) or 1.0
-    terms = {t for g in groups for t in g.terms}
+    terms = {t for g in groups for t in g[0]}
 
     def hit(a, g):
-        return all(t in a for t in g.terms) and any(all(s + o in a[t] for t, o in zip(g.terms, g.offsets, strict=True)) for s in a[g.terms[0]])
+        return all(t in a for t in g[0]) and any(all(s + o in a[t] for t, o in zip(*g, strict=True)) for s in a[g[0][0]])
 
     out = []
     for i, a in an.items():
@@ -74,8 +81,8 @@ def brute(docs, q, limit, k1=1.5, b=0.75):
                     df = sum(t in x for x in an.values())
                     tf = len(a[t])
                     s += math.log(1 + (len(an) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[i] / avg))
-            out.append((-round(s, 6), i))
-    return [(i, -s) for s, i in sorted(out)[:limit]]
+            out.append((-round(s, 12), i))
+    return [(i, round(-s, 6)) for s, i in sorted(out)[:limit]]
 
 
 def test_against_brute_force(spark):
@@ -121,6 +128,12 @@ def test_index_tables(spark, corpus):
     assert [r["doc_id"] for r in ids] == [7, 8, 9]
 
 
+def test_restore(spark, corpus):
+    back = corpus.restore(spark.createDataFrame([(2, "http://e/bsd", "BSD", "kqueue again"), (9, "http://e/new", "", "epoll")], "doc_id bigint, url string, title string, text string"))
+    assert {r["doc_id"]: r["length"] for r in back.docs.collect()} == {1: 13, 2: 3, 3: 11, 4: 9, 9: 1} or back.docs.count() == 5
+    assert urls_of(back, "epoll") == {"linux", "new"} and urls_of(back, "kqueue again") <= {"bsd"}
+
+
 def test_lists(spark):
     def df(ids):
         return spark.createDataFrame([(i, 1) for i in ids], "doc_id bigint, tf int")

@@ -27,10 +27,30 @@ def test_store(spark, tmp_path):
     assert {r["doc_id"]: (r["url"], r["length"]) for r in now.docs.collect()} == {1: ("u1", 3), 2: ("u2", 2), 3: ("u3", 1), 4: ("u4", 1)}
     assert {r["term"]: r["df"] for r in now.terms.collect()} == {"on": 1, "alpha": 1, "beta": 2, "delta": 1, "omega": 1, "psi": 1} or "on" not in {r["term"] for r in now.terms.collect()}
     assert {r["name"]: r["n"] for r in store.counts().collect()}["documents"] == 4
+    for _ in range(2):  # as written in segments, and as one
+        now = store.load()
+        counted = {r["term"]: r["df"] for r in now.postings.groupBy("term").count().withColumnRenamed("count", "df").collect()}
+        assert {r["term"]: r["df"] for r in now.terms.collect()} == counted
+        assert tuple(now.stats.first()) == (4, 7, 1.75) and now.docs.agg({"length": "sum"}).first()[0] == 7
+        assert [r["doc_id"] for r in store.scan().collect()] == [1, 2, 3, 4]
+        store.compact()
+    assert len(store.manifest()["segments"]) == 1 and store.next_id() == 5
     store.clear()
     assert store.load().docs.count() == 0 and store.next_id() == 1
 
 
+def test_appends_cost_what_they_add(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(spark.range(400).selectExpr("id AS seq", "concat('u', id) AS url", "'' AS title", "concat('word', id, ' ', repeat('long text ', 50)) AS text"), "seq")
+
+    def size():
+        return sum(f.stat().st_size for f in (tmp_path / "s").rglob("*.parquet"))
+
+    before = size()
+    store.append(spark.createDataFrame([(1, "v", "", "one more")], ROWS), "seq")
+    assert size() - before < 12_000 and store.load().docs.count() == 401
+
+
 def test_round_trip(spark, tmp_path):
     built = Index.build(spark.createDataFrame([(1, "search the web"), (2, "")], "doc_id bigint, text string"))
     store = Store(spark, str(tmp_path / "s"))
@@ -42,12 +62,12 @@ def test_round_trip(spark, tmp_path):
 def test_stream_is_batch(spark, tmp_path):
     landing, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "s"))
     first = [(i, f"u{i}", "", f"text {i % 7}", 200) for i in range(20)] + [(90, "u90", "", "bad", 404), (91, "u91", "", None, 200)]
-    seen = []
+    seen, again = [], []
     for n, rows in enumerate((first, [(i, f"v{i}", "", f"text {i % 9}", 200) for i in range(20)])):
         spark.createDataFrame(rows, ingest.PAGES).repartition(2).write.mode("append").parquet(landing)
-        ingest.ingest(ingest.read_pages(spark, landing, files_per_batch=1), store, str(tmp_path / "c"), seen.append).awaitTermination()
+        ingest.ingest(ingest.read_pages(spark, landing, files_per_batch=1), store, str(tmp_path / "c"), seen.append, again.append).awaitTermination()
         assert store.load().docs.count() == (7 if n == 0 else 9)
-    assert sum(seen) == 9
+    assert sum(seen) == 9 and sum(again) == 31
     assert sorted(r["text"] for r in store.load().docs.collect()) == [f"text {i}" for i in range(9)]
     assert sorted(r["doc_id"] for r in store.load().docs.collect()) == list(range(1, 10))
 
