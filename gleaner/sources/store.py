@@ -27,8 +27,8 @@ DOCS = "doc_id bigint, url string, title string, text string, length bigint, con
 POSTINGS = "doc_id bigint, term string, tf int, positions array<int>, length int"
 TERMS = "term string, df bigint"
 GONE = "doc_id bigint"
-MANIFEST = "version bigint, segments array<string>, n_docs bigint, total_length bigint, last_id bigint, replaces boolean, batches map<string,bigint>"
-_EMPTY = {"version": 0, "segments": [], "n_docs": 0, "total_length": 0, "last_id": 0, "replaces": False, "batches": {}}
+MANIFEST = "version bigint, segments array<string>, n_docs bigint, total_length bigint, last_id bigint, replaces array<string>, batches map<string,bigint>"
+_EMPTY = {"version": 0, "segments": [], "n_docs": 0, "total_length": 0, "last_id": 0, "replaces": [], "batches": {}}
 #: Replaced ids up to which they are broadcast to the readers of documents and postings.
 BROADCAST_GONE = 1_000_000
 
@@ -77,7 +77,7 @@ class Store:
         base = now if keep else _EMPTY
         row = {
             "version": version, "segments": [*keep, name], "n_docs": base["n_docs"] + added["n"] - taken[0], "total_length": base["total_length"] + added["length"] - taken[1],
-            "last_id": max(base["last_id"], added["last"]), "replaces": bool(base["replaces"] or gone is not None), "batches": {**now["batches"], **({batch[0]: batch[1]} if batch else {})},
+            "last_id": max(base["last_id"], added["last"]), "replaces": [*base["replaces"], *([] if gone is None else [name])], "batches": {**now["batches"], **({batch[0]: batch[1]} if batch else {})},
         }
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
@@ -96,7 +96,7 @@ class Store:
         segments = now["segments"]
         docs, postings, terms = (self._read(kind, schema, segments) for kind, schema in (("docs", DOCS), ("postings", POSTINGS), ("terms", TERMS)))
         if now["replaces"]:
-            gone = self._read("gone", GONE, segments[1:]).groupBy("doc_id").agg(F.max("segment").alias("_since"))
+            gone = self._read("gone", GONE, now["replaces"]).groupBy("doc_id").agg(F.max("segment").alias("_since"))
             gone = F.broadcast(gone) if small_enough(gone, BROADCAST_GONE) else gone
             docs, postings = (df.join(gone, "doc_id", "left").where(F.col("_since").isNull() | (F.col("segment") >= F.col("_since"))) for df in (docs, postings))
         if len(segments) > 1:
