@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import time
+from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import crawl as crawling
 from gleaner.operators import dedup, metrics, search
-from gleaner.operators.index import vocabulary_size
+from gleaner.sources.http import fetch_urls
 from gleaner.sources.settings import Settings
 from gleaner.sources.store import Store
 
@@ -26,7 +27,9 @@ class Service:
         self.totals = dict.fromkeys(("pages_fetched_total", "fetch_errors_total", "fetches_disallowed_total", "documents_indexed_total", "duplicate_pages_total"), 0)
         self.latencies: list[float] = []
         self.last_crawl: dict | None = None
-        self._busy = threading.Lock()
+        self.last_error: str | None = None
+        self.frontier_depth = 0
+        self._busy, self._stop = threading.Lock(), threading.Event()
 
     # crawl
 
@@ -41,21 +44,35 @@ class Service:
 
     def _crawl(self, seeds: list[str], max_pages: int | None, max_depth: int) -> None:
         try:
+            self._stop.clear()
             self.run_crawl(seeds, max_pages, max_depth)
+            self.last_error = None
+        except Exception as e:  # noqa: BLE001  the thread ends; /stats tells
+            self.last_error = f"{type(e).__name__}: {e}"[:500]
         finally:
             self._busy.release()
 
+    def stop(self) -> None:
+        """A running crawl ends after the level it is at."""
+        self._stop.set()
+
     def run_crawl(self, seeds: list[str], max_pages: int | None = None, max_depth: int = 2) -> dict:
         began = time.monotonic()
-        limits = crawling.CrawlLimits(max_depth, max_pages, self.settings.max_page_bytes, self.settings.allowed_domains)
+        limits = crawling.CrawlLimits(max_depth, max_pages, self.settings.max_page_bytes, self.settings.allowed_domains, self.settings.max_retries)
         at = f"{self.store.path}/crawls/{int(time.time() * 1e6)}"
 
-        def keep(level: DataFrame, depth: int) -> DataFrame:
-            level.write.parquet(f"{at}/{depth}")
-            return self.spark.read.schema(level.schema).parquet(f"{at}/{depth}")
-
-        asked = crawling.crawl(self.spark.createDataFrame([(s,) for s in seeds], "url string"), self.web, limits, keep, self.robots, self.settings.user_agent)
-        new = asked.where("status = 200 AND text IS NOT NULL").withColumn("seq", F.struct("depth", "url"))
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{at}/{name}")
+            kept = self.spark.read.schema(rows.schema).parquet(f"{at}/{name}")
+            if name.startswith(("frontier-", "answers-")):
+                self.frontier_depth = kept.count() if name.startswith("frontier-") else 0
+            return kept
+
+        web = self.web if self.web is not None else partial(fetch_urls, settings=self.settings)
+        named = self.spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "url string, seq bigint")
+        asked = crawling.crawl(named, web, limits, keep, self.robots, self.settings.user_agent, self._stop.is_set)
+        self.frontier_depth = 0
+        new = asked.where("status = 200 AND text IS NOT NULL").withColumn("url", F.col("final_url")).withColumn("seq", F.struct("depth", "url"))
         known = self.store.load().docs.select(F.col("content_hash").alias("digest"))
         kept = dedup.first_seen(new, "seq", seen=known)
         took = time.monotonic() - began
@@ -90,10 +107,10 @@ class Service:
 
     def stats(self) -> tuple[int, dict]:
         index = self.store.load()
-        row = index.stats.crossJoin(vocabulary_size(index.postings)).first()
+        row = index.stats.crossJoin(index.terms.agg(F.count(F.lit(1)).alias("unique_terms"))).first()  # one row each
         return 200, {
             "documents": row["n_docs"], "unique_terms": row["unique_terms"], "avg_doc_length": round(row["avgdl"], 1),
-            "dedup": {"unique": row["n_docs"], "duplicates": self.totals["duplicate_pages_total"]}, "crawl_running": self._busy.locked(), "last_crawl": self.last_crawl,
+            "dedup": {"unique": row["n_docs"], "duplicates": self.totals["duplicate_pages_total"]}, "crawl_running": self._busy.locked(), "last_crawl": self.last_crawl, "last_error": self.last_error,
         }
 
     def healthz(self) -> tuple[int, dict]:
@@ -102,7 +119,7 @@ class Service:
     def metrics(self) -> str:
         size = dedup.BloomSize.of(self.settings.bloom_expected_urls, self.settings.bloom_target_fpr)
         rows = [(i, f"gleaner_{k}", k.replace("_", " "), "counter", None, float(v)) for i, (k, v) in enumerate(self.totals.items())]
-        rows += [(90, "gleaner_frontier_depth", "URLs queued", "gauge", None, 0.0)]
+        rows += [(90, "gleaner_frontier_depth", "URLs queued", "gauge", None, float(self.frontier_depth))]
         rows += [(91, "gleaner_bloom_theoretical_fpr", "False positives expected", "gauge", None, size.theoretical_fpr(self.totals["pages_fetched_total"]))]
         said = metrics.exposition(self.spark.createDataFrame(rows, "seq int, name string, help string, type string, labels string, value double"))
         out = "\n".join(r["text"] for r in said.orderBy("name").collect()) + "\n"

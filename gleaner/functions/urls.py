@@ -156,6 +156,18 @@ def canonical(url: Column) -> Column:
     return _let(F.trim(url), lambda u: _let(F.lower(_part(u, 1)), lambda s: from_scheme(u, s)))
 
 
+def resolved(base: Column, reference: Column) -> Column:
+    """The reference as an absolute URL, seen from ``base``; dot segments stay for ``canonical``."""
+    ref, authority = F.trim(reference), F.when(netloc(base) != "", F.concat(F.lit("//"), netloc(base))).otherwise("")
+    site = F.concat(scheme(base), F.lit(":"), authority)
+    folder = F.regexp_extract(_part(base, 4), r"^(.*/)?", 0)
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref)).when(ref.startswith("/"), F.concat(site, ref))
+        .when(ref.startswith("?"), F.concat(site, _part(base, 4), ref)).when((ref == "") | ref.startswith("#"), F.regexp_replace(base, "#.*$", ""))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), ref))
+    )
+
+
 def host(url: Column) -> Column:
     """Host of a URL without port, in lower case."""
     place = F.regexp_extract(_part(url, 3), r"([^@]*)$", 1)

@@ -20,6 +20,11 @@ def histogram(values: DataFrame, column: str, bounds: tuple[float, ...] = BOUNDS
     return row.select(F.inline(F.array(*cells)))
 
 
+def histogram_totals(values: DataFrame, column: str) -> DataFrame:
+    """One row: the sum and the count that stand beside a histogram's buckets."""
+    return values.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("sum"), F.count(column).alias("count"))
+
+
 def counters(events: DataFrame, name: str, amount: Column) -> DataFrame:
     return events.groupBy(F.col(name).alias("name")).agg(F.sum(amount).alias("value"))
 

@@ -396,20 +396,58 @@ def frontier_stats(spark, sf_dir):
 _SEEDS = "SELECT DISTINCT url FROM pg"
 
 
-def _crawl(spark, sf_dir):
+def _own_pages(spark, sf_dir):
+    """A row for each canonical URL of ``pages``, with the body of the first page that has it."""
     pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"), F.col("html").alias("body"))
-    web = pages.groupBy("url").agg(F.min_by("body", "page_id").alias("body"), F.min("page_id").alias("page_id"))
+    return pages.groupBy("url").agg(F.min_by("body", "page_id").alias("body"), F.min("page_id").alias("page_id"))
+
+
+def _kept(rows, name):
+    return stored(rows, f"crawl-{name}")
+
+
+def _crawl(spark, sf_dir):
+    pages = _own_pages(spark, sf_dir)
     status = F.when(F.col("page_id") % 10 == 3, 503).when(F.col("page_id") % 10 == 7, 404).otherwise(200)
-    web = web.select("url", status.alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), "body")
+    web = pages.select("url", status.alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), "body", F.lit(None).cast("string").alias("location"))
     texts = pages.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /de/\n"))
-    seeds = pages.select("url")
-    return crawl.crawl(seeds, web, crawl.CrawlLimits(max_depth=1), lambda level, depth: stored(level, f"crawl-{depth}"), texts)
+    return crawl.crawl(pages.select("url"), web, crawl.CrawlLimits(max_depth=1, max_retries=3), _kept, texts)
+
+
+@query(f"""WITH {sql.LINKS}, web AS (SELECT url, min(page_id) AS page_id FROM pg GROUP BY url), found AS (
+    SELECT {sql.canonical("concat(lower(origin), h)")} AS url, page_id, i FROM (SELECT page_id, origin, unnest(range(len(hs))) AS i, unnest(hs) AS h FROM (SELECT page_id, origin, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pg)) WHERE h NOT LIKE '#%'),
+  f AS (SELECT found.url, min(struct_pack(p := found.page_id, i := i)) AS at FROM found JOIN web USING (page_id) WHERE found.url NOT IN (SELECT url FROM web) GROUP BY found.url),
+  every AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY page_id) AS n FROM web UNION ALL SELECT url, 1, (SELECT count(*) FROM web) + row_number() OVER (ORDER BY at, url) FROM f)
+  SELECT url, CAST(depth AS INTEGER) AS depth FROM every WHERE n <= 500""")
+def crawl_budget(spark, sf_dir):
+    """500 URLs at most: the pages in their order, then their links in the order in which they are met."""
+    pages = _own_pages(spark, sf_dir)
+    web = pages.selectExpr("url", "200 AS status", "'text/html' AS content_type", "body", "CAST(NULL AS string) AS location")
+    return crawl.crawl(pages.select("url", F.col("page_id").alias("seq")), web, crawl.CrawlLimits(max_depth=1, max_pages=500), _kept).select("url", "depth")
+
+
+@query(f"""WITH {sql.LINKS}, web AS (SELECT url, min(page_id) AS page_id FROM pg GROUP BY url),
+  w AS (SELECT url, page_id, page_id % 5 AS k, regexp_extract(url, '^[^:]+://[^/]*') AS site FROM web)
+  SELECT a.url, CASE a.k WHEN 2 THEN coalesce(b.url, concat(a.site, '/none')) WHEN 4 THEN concat(a.site, '/moved') ELSE a.url END AS final_url,
+  CAST(CASE WHEN a.k IN (0, 3) THEN 200 WHEN a.k = 1 THEN 503 WHEN a.k = 2 AND b.url IS NOT NULL THEN 200 END AS INTEGER) AS status,
+  CASE WHEN a.k IN (0, 3) OR (a.k = 2 AND b.url IS NOT NULL) THEN 'fetched' ELSE 'error' END AS outcome, CAST(CASE WHEN a.k = 1 THEN 2 ELSE 0 END AS INTEGER) AS retries
+  FROM w a LEFT JOIN w b ON b.page_id = a.page_id + 1""")
+def crawl_redirects(spark, sf_dir):
+    """Of five pages, one moved to the next page, one to a place of its site that is not there, and one always fails."""
+    pages = _own_pages(spark, sf_dir)
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    k = F.col("page_id") % 5
+    web = pages.join(after, "page_id", "left").select(
+        "url", F.when(k == 1, 503).when(k.isin(2, 4), 301).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), "body",
+        F.when(k == 2, F.coalesce("next", F.lit("/none"))).when(k == 4, "/x/../moved/").alias("location"),
+    )
+    return crawl.crawl(pages.select("url"), web, crawl.CrawlLimits(max_retries=2), _kept).select("url", "final_url", "status", "outcome", "retries")
 
 
 _CRAWL = f"""WITH {sql.LINKS}, web AS (SELECT url, min(page_id) AS page_id FROM pg GROUP BY url), w AS (SELECT url, page_id, CASE page_id % 10 WHEN 3 THEN 503 WHEN 7 THEN 404 ELSE 200 END AS status FROM web),
-  l0 AS (SELECT url, 0 AS depth FROM ({_SEEDS})), s0 AS (SELECT l0.url, l0.depth, CASE WHEN regexp_matches(l0.url, '^[^:]+://[^/]*/de/') THEN 'disallowed' WHEN w.status = 200 THEN 'fetched' ELSE 'error' END AS outcome, w.status FROM l0 LEFT JOIN w ON w.url = l0.url),
+  l0 AS (SELECT url, 0 AS depth FROM ({_SEEDS})), s0 AS (SELECT l0.url, l0.depth, CASE WHEN regexp_matches(l0.url, '^[^:]+://[^/]*/de/') THEN 'disallowed' WHEN w.status = 200 THEN 'fetched' ELSE 'error' END AS outcome, CASE WHEN NOT regexp_matches(l0.url, '^[^:]+://[^/]*/de/') THEN w.status END AS status FROM l0 LEFT JOIN w ON w.url = l0.url),
   l1 AS (SELECT DISTINCT links.url, 1 AS depth FROM links JOIN web ON links.page_id = web.page_id JOIN s0 ON s0.url = web.url AND s0.outcome = 'fetched' WHERE links.url NOT IN (SELECT url FROM l0)),
-  s1 AS (SELECT l1.url, l1.depth, CASE WHEN regexp_matches(l1.url, '^[^:]+://[^/]*/de/') THEN 'disallowed' WHEN w.status = 200 THEN 'fetched' ELSE 'error' END AS outcome, w.status FROM l1 LEFT JOIN w ON w.url = l1.url),
+  s1 AS (SELECT l1.url, l1.depth, CASE WHEN regexp_matches(l1.url, '^[^:]+://[^/]*/de/') THEN 'disallowed' WHEN w.status = 200 THEN 'fetched' ELSE 'error' END AS outcome, CASE WHEN NOT regexp_matches(l1.url, '^[^:]+://[^/]*/de/') THEN w.status END AS status FROM l1 LEFT JOIN w ON w.url = l1.url),
   asked AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
 
 
@@ -418,9 +456,9 @@ def crawl_bfs(spark, sf_dir):
     return _crawl(spark, sf_dir).select("url", "depth", "status", "outcome")
 
 
-@query(_CRAWL + " SELECT count(*) FILTER (outcome = 'fetched') AS fetched, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'disallowed') AS disallowed, CAST(3 AS INTEGER) AS retries, round(count(*) FILTER (outcome = 'fetched') / 4.0, 6) AS pages_per_sec FROM asked")
+@query(_CRAWL + " SELECT count(*) FILTER (outcome = 'fetched') AS fetched, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'disallowed') AS disallowed, CAST(3 * count(*) FILTER (status = 503) AS BIGINT) AS retries, round(count(*) FILTER (outcome = 'fetched') / 4.0, 6) AS pages_per_sec FROM asked")
 def crawl_stats(spark, sf_dir):
-    return crawl.crawl_stats(_crawl(spark, sf_dir), 4.0, 3).withColumn("pages_per_sec", F.round("pages_per_sec", 6))
+    return crawl.crawl_stats(_crawl(spark, sf_dir), 4.0).withColumn("pages_per_sec", F.round("pages_per_sec", 6))
 
 
 @query("""SELECT count(DISTINCT CASE WHEN ok THEN md5(text) END) AS indexed, count(*) FILTER (ok) - count(DISTINCT CASE WHEN ok THEN md5(text) END) AS duplicates, count(*) FILTER (NOT ok) AS skipped
@@ -441,14 +479,14 @@ def retry_outcome(spark, sf_dir):
     return crawl.retry_outcome(rows.selectExpr("concat('u', doc_id) AS url", "a AS attempt", f"{_STATUS} AS status"), 3)
 
 
-@query("""WITH RECURSIVE w AS (SELECT concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url, doc_id, CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status, CASE WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location FROM documents),
+@query("""WITH RECURSIVE w AS (SELECT concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url, doc_id, CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status, CASE WHEN doc_id % 5 < 3 THEN concat('http://h', CASE WHEN doc_id % 5 = 1 THEN doc_id % 7 ELSE (doc_id * 3 + 1) % 1000 % 7 END, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location FROM documents),
   hop AS (SELECT url AS requested, url, 0 AS hops FROM w UNION ALL SELECT hop.requested, w.location, hop.hops + 1 FROM hop JOIN w ON w.url = hop.url WHERE w.status = 302 AND hop.hops < 5)
   SELECT hop.requested, hop.url, CAST(hop.hops AS INTEGER) AS hops, CAST(w.status AS INTEGER) AS status, CASE WHEN w.status IS NULL THEN 'error' WHEN w.status = 302 THEN 'too_many_redirects' ELSE 'fetched' END AS outcome
   FROM hop LEFT JOIN w ON w.url = hop.url WHERE coalesce(w.status, 0) <> 302 OR hop.hops = 5""")
 def redirect_chase(spark, sf_dir):
     web = _documents(spark, sf_dir).selectExpr(
         "doc_id", "concat('http://h', doc_id % 7, '.example.com/', doc_id) AS url", "CASE WHEN doc_id % 5 < 3 THEN 302 ELSE 200 END AS status", "'text/html' AS content_type", "'' AS body",
-        "CASE WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location",
+        "CASE WHEN doc_id % 5 = 1 THEN concat('../x/./../', (doc_id * 3 + 1) % 1000) WHEN doc_id % 5 < 3 THEN concat('http://h', (doc_id * 3 + 1) % 1000 % 7, '.example.com/', (doc_id * 3 + 1) % 1000) END AS location",
     )
     return crawl.chase_redirects(web.select("url"), web).select("requested", "url", "hops", "status", "outcome")
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import urls
 from gleaner.operators import crawl, dedup, frontier, metrics, robots
+from gleaner.sources.scratch import stored
 
 
 def test_first_seen(spark):
@@ -130,7 +131,7 @@ WEB = "url string, status int, content_type string, body string, location string
 
 
 def crawled(spark, limits, seeds=("http://s/",), texts=None):
-    rows = crawl.crawl(spark.createDataFrame([(s,) for s in seeds], "url string"), spark.createDataFrame(SITE, WEB), limits, lambda df, _: df.cache(), texts)
+    rows = crawl.crawl(spark.createDataFrame([(s,) for s in seeds], "url string"), spark.createDataFrame(SITE, WEB), limits, stored, texts)
     return {r["url"]: (r["depth"], r["outcome"]) for r in rows.collect()}
 
 
@@ -145,6 +146,28 @@ def test_crawl(spark):
     assert crawled(spark, crawl.CrawlLimits(max_depth=1), texts=texts)["http://s/a"] == (1, "disallowed")
 
 
+def test_crawl_moves_and_tries(spark):
+    web = [("http://s/", 0, 200, "text/html", page("home", "welcome", "/old", "/flaky", "/dead", "/out"), None), ("http://s/old", 0, 301, None, None, "/new/"), ("http://s/new", 0, 200, "text/html", page("new", "found", "/last"), None),
+           ("http://s/flaky", 0, 503, None, None, None), ("http://s/flaky", 1, 200, "text/html", page("f", "at last"), None), *(("http://s/dead", i, 500, None, None, None) for i in range(9)), ("http://s/out", 0, 302, None, None, "http://else/")]
+    tries = spark.createDataFrame(web, "url string, attempt int, status int, content_type string, body string, location string")
+    asked = crawl.crawl(spark.createDataFrame([("http://s/",)], "url string"), tries, crawl.CrawlLimits(max_depth=2, max_retries=2, allowed_domains=("s",)), stored)
+    got = {r["url"]: (r["final_url"], r["outcome"], r["retries"]) for r in asked.collect()}
+    assert got == {
+        "http://s/": ("http://s/", "fetched", 0), "http://s/old": ("http://s/new", "fetched", 0), "http://s/flaky": ("http://s/flaky", "fetched", 1), "http://s/dead": ("http://s/dead", "error", 2),
+        "http://s/out": ("http://else/", "disallowed", 0), "http://s/last": ("http://s/last", "error", 0),
+    }
+    assert crawl.crawl_stats(asked).first()["retries"] == 3
+
+
+def test_crawl_budget(spark):
+    """Pages are asked for in the order in which their links are met, not by name."""
+    site = [("http://s/", 200, "text/html", page("home", "x", "/z", "/a", "/m"), None), ("http://s/z", 200, "text/html", page("z", "x", "/z2", "/a"), None), ("http://s/a", 200, "text/html", page("a", "x", "/a1"), None), ("http://s/m", 404, None, None, None)]
+    seeds = spark.createDataFrame([("http://s/", 0)], "url string, seq int")
+    for n, want in ((2, {"/", "/z"}), (4, {"/", "/z", "/a", "/m"}), (5, {"/", "/z", "/a", "/m", "/z2"})):
+        rows = crawl.crawl(seeds, spark.createDataFrame(site, WEB), crawl.CrawlLimits(max_depth=3, max_pages=n), stored).collect()
+        assert {r["url"].removeprefix("http://s") for r in rows} == want
+
+
 def test_retry_and_redirects(spark):
     tries = [("flaky", 0, 500), ("flaky", 1, 503), ("flaky", 2, 200), ("dead", 0, 500), ("dead", 1, 500), ("dead", 2, 500), ("gone", 0, 404), ("gone", 1, 200)]
     got = {r["url"]: (r["status"], r["attempts"], r["outcome"]) for r in crawl.retry_outcome(spark.createDataFrame(tries, "url string, attempt int, status int"), 2).collect()}
@@ -153,6 +176,9 @@ def test_retry_and_redirects(spark):
     asked = spark.createDataFrame([("http://s/r",), ("http://s/l",), ("http://s/n",), ("http://s/q",)], "url string")
     got = {r["requested"]: (r["outcome"], r["hops"], r["status"]) for r in crawl.chase_redirects(asked, spark.createDataFrame(web, WEB)).collect()}
     assert got == {"http://s/r": ("fetched", 1, 200), "http://s/l": ("too_many_redirects", 5, 301), "http://s/n": ("fetched", 0, 302), "http://s/q": ("error", 0, None)}
+    moved = [("http://s/d/r", 302, None, None, "../x"), ("http://s/q", 302, None, None, "?a=1"), ("http://s/q?a=1", 301, None, None, "//t/y"), ("http://s/x", 200, "text/html", "hi", None), ("http://t/y", 200, "text/html", "there", None)]
+    got = {r["requested"]: (r["url"], r["outcome"]) for r in crawl.chase_redirects(spark.createDataFrame([("http://s/d/r",), ("http://s/q",)], "url string"), spark.createDataFrame(moved, WEB)).collect()}
+    assert got == {"http://s/d/r": ("http://s/x", "fetched"), "http://s/q": ("http://t/y", "fetched")}
     only = lambda df: df.withColumn("allowed", ~F.col("url").contains("/x"))
     got = {r["requested"]: r["outcome"] for r in crawl.chase_redirects(asked, spark.createDataFrame(web, WEB), only).collect()}
     assert got["http://s/r"] == "disallowed"

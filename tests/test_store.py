@@ -1,6 +1,8 @@
 import json
 import threading
+import time
 import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
@@ -119,6 +121,41 @@ def test_fetch(spark):
     assert {r["requested"]: r["outcome"] for r in rows} == {"http://s/": "fetched", "http://s/none": "error", "http://s/private/x": "disallowed"}
 
 
+def test_service_fetches(spark, tmp_path):
+    """A service without a table of the web asks a real server: a redirect, a page that fails once, robots rules."""
+    tries = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            tries.append(self.path)
+            said = {"/": (200, "<title>home</title><p>welcome</p><a href='/old'>o</a><a href='/flaky'>f</a><a href='/private/x'>p</a>"), "/new": (200, "<title>new</title><p>gamma</p>"), "/robots.txt": (200, "User-agent: *\nDisallow: /private")}
+            said |= {"/old": (302, ""), "/flaky": (503 if tries.count("/flaky") == 1 else 200, "<p>delta</p>")}
+            status, body = said.get(self.path, (404, ""))
+            self.send_response(status)
+            if self.path == "/old":
+                self.send_header("Location", "new")
+            self.send_header("Content-Type", "text/plain" if self.path == "/robots.txt" else "text/html")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    site = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    service = Service(spark, Store(spark, str(tmp_path / "s")), Settings(allowed_domains=("127.0.0.1",), per_host_delay_s=0, retry_base_delay_s=0))
+    assert service.start_crawl({"seeds": [f"http://127.0.0.1:{site.server_port}/"], "max_depth": 1})[0] == 202
+    for _ in range(600):
+        if not service.stats()[1]["crawl_running"]:
+            break
+        time.sleep(0.2)
+    site.shutdown()
+    said = service.stats()[1]
+    assert said["last_error"] is None
+    assert {k: said["last_crawl"][k] for k in ("fetched", "errors", "disallowed", "retries", "indexed")} == {"fetched": 3, "errors": 0, "disallowed": 1, "retries": 1, "indexed": 3}
+    assert service.search("gamma")[1]["hits"][0]["url"].endswith("/new") and "/private/x" not in tries
+
+
 def test_service(spark, tmp_path):
     web = spark.createDataFrame([*SITE, ("http://s/mirror", 200, "text/html", SITE[1][3].replace("<title>a", "<title>m"), None)], WEB)
     service = Service(spark, Store(spark, str(tmp_path / "s")), Settings(allowed_domains=("s",), api_port=0), web)
