@@ -123,7 +123,7 @@ def table_fetcher(web: DataFrame, limits: CrawlLimits, rules: DataFrame | None =
         got = chase_redirects(asked, tries, permitted).join(tries.select("url", "retries"), "url", "left")
         good = F.coalesce(is_success(F.col("status")) & within_cap(F.col("body"), limits.max_page_bytes), F.lit(False))
         outcome = F.when(F.col("outcome") == "disallowed", "disallowed").when((F.col("outcome") == "fetched") & good, "fetched").otherwise("error")
-        return got.select("requested", "url", F.col("status").cast("int").alias("status"), mime(F.col("content_type")).alias("content_type"), "body", outcome.alias("outcome"), F.coalesce("retries", F.lit(0)).cast("int").alias("retries"))
+        return got.select("requested", "url", F.col("status").cast("int").alias("status"), mime(F.col("content_type")).alias("content_type"), "body", outcome.alias("outcome"), F.when(F.col("outcome") == "disallowed", 0).otherwise(F.coalesce("retries", F.lit(0))).cast("int").alias("retries"))
 
     return fetch
 

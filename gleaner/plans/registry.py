@@ -416,8 +416,8 @@ def _crawl(spark, sf_dir):
 
 @query(f"""WITH {sql.LINKS}, web AS (SELECT url, min(page_id) AS page_id FROM pg GROUP BY url), found AS (
     SELECT {sql.canonical("concat(lower(origin), h)")} AS url, page_id, i FROM (SELECT page_id, origin, unnest(range(len(hs))) AS i, unnest(hs) AS h FROM (SELECT page_id, origin, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pg)) WHERE h NOT LIKE '#%'),
-  f AS (SELECT found.url, min(struct_pack(p := found.page_id, i := i)) AS at FROM found JOIN web USING (page_id) WHERE found.url NOT IN (SELECT url FROM web) GROUP BY found.url),
-  every AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY page_id) AS n FROM web UNION ALL SELECT url, 1, (SELECT count(*) FROM web) + row_number() OVER (ORDER BY at, url) FROM f)
+  f AS (SELECT found.url, min(struct_pack(p := found.page_id, i := i)) AS met FROM found JOIN web USING (page_id) WHERE found.url NOT IN (SELECT url FROM web) GROUP BY found.url),
+  every AS (SELECT url, 0 AS depth, row_number() OVER (ORDER BY page_id) AS n FROM web UNION ALL SELECT url, 1, (SELECT count(*) FROM web) + row_number() OVER (ORDER BY met, url) FROM f)
   SELECT url, CAST(depth AS INTEGER) AS depth FROM every WHERE n <= 500""")
 def crawl_budget(spark, sf_dir):
     """500 URLs at most: the pages in their order, then their links in the order in which they are met."""
