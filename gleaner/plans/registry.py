@@ -249,36 +249,39 @@ def assign_doc_ids(spark, sf_dir):
     return index.assign_ids(kept, "doc_id", id_column="new_id").select("doc_id", "new_id")
 
 
-BLOOM = dedup.BloomSize.of(250, 0.05)
+RATE = 0.05
 _MEMBERS = f"(SELECT DISTINCT {sql.canonical('url')} AS url FROM pages)"
 _PROBES = "(SELECT DISTINCT url FROM links)"
+#: CTE: the filter's bits and hashes, from the number of members.
+_SIZED = f"""sized AS (SELECT m, CAST(greatest(1, round(m / CAST(n AS DOUBLE) * ln(2))) AS BIGINT) AS k FROM (SELECT n, CAST(8 * ceil(ceil(-n * ln({RATE}) / (ln(2) * ln(2))) / 8) AS BIGINT) AS m FROM (SELECT count(*) AS n FROM {_MEMBERS})))"""
 
 
-def _bloom_urls(spark, sf_dir):
-    """All pages' URLs, and all links."""
-    own = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url"))
-    return own.distinct(), _pages(spark, sf_dir).select(F.explode("links").alias("url")).distinct()
+def _bloom(spark, sf_dir):
+    """The pages' URLs, all links, and the size of a filter for the former."""
+    own = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url")).distinct()
+    return own, _pages(spark, sf_dir).select(F.explode("links").alias("url")).distinct(), dedup.BloomSize.of(max(1, own.count()), RATE)
 
 
-@query(f"SELECT url, CAST(unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS BIGINT) AS p FROM {_MEMBERS}")
+@query(f"WITH {_SIZED} SELECT url, CAST(unnest({sql.bloom_positions('url', 'm', 'k')}) AS BIGINT) AS p FROM {_MEMBERS} CROSS JOIN sized")
 def bloom_positions(spark, sf_dir):
-    members, _ = _bloom_urls(spark, sf_dir)
-    return members.select("url", F.explode(dedup.bloom_positions(F.col("url"), BLOOM)).alias("p"))
+    members, _, size = _bloom(spark, sf_dir)
+    return members.select("url", F.explode(dedup.bloom_positions(F.col("url"), size)).alias("p"))
 
 
-@query(f"SELECT CAST(count(DISTINCT p) AS BIGINT) AS bits_set, (SELECT count(*) FROM {_MEMBERS}) AS items FROM (SELECT unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM {_MEMBERS})")
+@query(f"WITH {_SIZED} SELECT CAST(count(DISTINCT p) AS BIGINT) AS bits_set, (SELECT count(*) FROM {_MEMBERS}) AS items FROM (SELECT unnest({sql.bloom_positions('url', 'm', 'k')}) AS p FROM {_MEMBERS} CROSS JOIN sized)")
 def bloom_build(spark, sf_dir):
-    bloom = dedup.Bloom.build(_bloom_urls(spark, sf_dir)[0], "url", BLOOM)
-    return bloom.set_bits().crossJoin(bloom.added)
+    members, _, size = _bloom(spark, sf_dir)
+    bloom = dedup.Bloom.build(members, "url", size)
+    return bloom.set_bits().crossJoin(bloom.added)  # one row each
 
 
-@query(f"""WITH {sql.LINKS}, b AS (SELECT DISTINCT unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM {_MEMBERS}),
-  x AS (SELECT url, unnest({sql.bloom_positions('url', BLOOM.m, BLOOM.k)}) AS p FROM (SELECT url FROM {_PROBES} UNION SELECT url FROM {_MEMBERS})),
+@query(f"""WITH {sql.LINKS}, {_SIZED}, b AS (SELECT DISTINCT unnest({sql.bloom_positions('url', 'm', 'k')}) AS p FROM {_MEMBERS} CROSS JOIN sized),
+  x AS (SELECT url, unnest({sql.bloom_positions('url', 'm', 'k')}) AS p FROM (SELECT url FROM {_PROBES} UNION SELECT url FROM {_MEMBERS}) CROSS JOIN sized),
   v AS (SELECT url, bool_and(p IN (SELECT p FROM b)) AS maybe FROM x GROUP BY url)
   SELECT count(*) AS probes, count(*) FILTER (maybe AND NOT member) AS false_positives, count(*) FILTER (member AND NOT maybe) AS false_negatives FROM (SELECT v.*, url IN (SELECT url FROM {_MEMBERS}) AS member FROM v)""")
 def bloom_fpr(spark, sf_dir):
-    members, probes = _bloom_urls(spark, sf_dir)
-    found = dedup.Bloom.build(members, "url", BLOOM).probe(probes.union(members).distinct(), "url").join(members.withColumn("member", F.lit(True)), "url", "left")
+    members, probes, size = _bloom(spark, sf_dir)
+    found = dedup.Bloom.build(members, "url", size).probe(probes.union(members).distinct(), "url").join(members.withColumn("member", F.lit(True)), "url", "left")
     member = F.col("member").isNotNull()
     return found.agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("maybe") & ~member).alias("false_positives"), F.count_if(member & ~F.col("maybe")).alias("false_negatives"))
 

@@ -104,8 +104,8 @@ PAGES = f"pg AS (SELECT page_id, {canonical('url')} AS url, {TITLE} AS title, {T
 LINKS = f"""{PAGES}, links AS (SELECT DISTINCT page_id, {canonical("concat(lower(origin), h)")} AS url FROM (SELECT page_id, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pg) WHERE h NOT LIKE '#%')"""
 
 
-def bloom_positions(item: str, m: int, k: int) -> str:
-    """A list of bit places of ``item``."""
+def bloom_positions(item: str, m: str, k: str) -> str:
+    """A list of bit places of ``item``; m, k: columns."""
     h1 = f"(CAST(concat('0x', substr(md5({item}), 1, 15)) AS BIGINT) % {m})"
     h2 = f"((CAST(concat('0x', substr(md5({item}), 17, 15)) AS BIGINT) | 1) % {m})"
     return f"list_transform(range({k}), lambda i: ({h1} + i * {h2}) % {m})"
