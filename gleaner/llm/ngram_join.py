@@ -14,7 +14,12 @@ more. Rows of one shingle set are copies: they are one node, however many.
    many as its sets, with no link lost. Ties give the classes, sums the numbers.
 
 Texts without words link to nothing and are classes of their own. Null texts are empty. Null doc_ids are counted; a class
-of null doc_ids alone has a null id. Repeated rows are copies of each other.
+of null doc_ids alone has a null id. Repeated rows are copies of each other. Very long texts are sets like others. An empty
+table gives no rows, and columns of the caller, whatever their names, come back as they are or are not looked at.
+
+What this costs: within a component all pairs of sets are compared (by signature, STEP values first), as the number of links
+of each is asked for. A component is a class of near copies and what ties chain to it; so a class of n different texts takes
+work in proportion to n squared, in blocks of bounded size over all tasks.
 """
 
 from __future__ import annotations

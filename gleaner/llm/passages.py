@@ -19,8 +19,11 @@ are long enough. Groups are only counted, with partial sums, and never gathered,
 and again only the first two rows are dealt by it: a passage of any number of documents is no heavier in one task than in
 another; a text's own spans are gathered for that text alone.
 
-Null text is empty. Texts below ``LENGTH`` bytes stay whole. Repeated rows, and rows of one doc_id, are documents of their
-own. Digits are 64-bit hashes, the last two together 128 bits.
+That orders suffixes no further than needed: a digit here is a hash of a part of the window that every suffix of a group
+has in the same place, not its leading bytes one by one, and groups are told apart, not put in order.
+
+Null text is empty. Texts below ``LENGTH`` bytes stay whole; longer ones are taken whole, in pieces that overlap. Repeated
+rows, and rows of one doc_id, are documents of their own. An empty table gives no rows; other columns are not looked at. Digits are 64-bit hashes, the last two together 128 bits.
 """
 
 from __future__ import annotations

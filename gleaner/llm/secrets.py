@@ -6,7 +6,8 @@ that any rule asks for. A rule's query intersects and unites postings, and only
 expression itself, over their whole text. A rule without mandatory trigrams (hex) scans all documents; there, a run of
 that length shows on a grid of samples, so that whole segments are tested at once.
 
-Spans count code points, end exclusive. Null text is empty: no spans, and base_sha256 of the empty string.
+Spans count code points, end exclusive. Null text is empty: no spans, and base_sha256 of the empty string. Texts are scanned
+whole, however long; repeated rows have the same spans, an empty table gives no rows, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ BASE = (
 #: Rules beyond the base: their spans only come on top.
 MORE = (
     Rule("key_block", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("bearer", r"Bearer\x20+([A-Za-z0-9+/_.=-]+)", 1, 16),
     Rule("login_url", r"[a-z][a-z0-9+.-]{1,30}://[^\s/:@]+:([^\s/:@]+)@", 1, 3),
 )
