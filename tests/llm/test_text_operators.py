@@ -107,8 +107,10 @@ def test_gradients():
             assert caught[name][place] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.08, abs=2e-4), (name, place)
 
 
-def plain_score(net, text):
-    """One number at a time: every word's letters, every window of words, attention, the worst window."""
+def plain_score(net, text, known=None):
+    """One number at a time: every word's letters, every window of words, attention, the worst window. known: vectors of words
+    met before."""
+    known = {} if known is None else known
     p, w = net.p, {k: v.astype(float).tolist() for k, v in net.w.items()}
 
     def sigmoid(x):
@@ -129,6 +131,11 @@ def plain_score(net, text):
         return out
 
     def vector(word):
+        if word not in known:
+            known[word] = spelled(word)
+        return known[word]
+
+    def spelled(word):
         own = [w["letters"][net.letter_no.get(c, len(net.letter_no) + 1)] for c in word]
         return run(own, "cf", p.char_state)[-1] + run(own[::-1], "cb", p.char_state)[-1] + w["words"][net.word_no.get(word, 0)]
 
