@@ -12,9 +12,9 @@ Up to MOST_ITEMS items of MOST_BYTES of text in all go to all tasks as an index,
 are joined: of each distinct text, the shingles that pass a table of the items' minima, and are themselves minima of a
 window, are joined with the minima; candidates meet the two texts. Either way each text is read once for the search.
 
-An item of more than ``FEW`` shingles that is contained whole is always found, as the window that holds it shows its minima
-unless smaller hashes of the text around hide all of them; with 16 or more minima, of which one is enough, none was missed in
-100,000 (README). Items of one to four words are one shingle and match only texts of just these words.
+An item of more than ``FEW`` shingles is a candidate unless smaller hashes of the text around hide all of its minima, of
+which one is enough. Measured on items of 17, 20, 33, 64 and 200 shingles in four times as many others on either side: of
+70,000 that were contained whole and 25,000 of which four fifths of the shingles were, none was missed. Items of one to four words are one shingle and match only texts of just these words.
 
 Null or empty texts have no shingles and match nothing; repeated rows give repeated matches; very long texts are searched
 whole; empty tables give no rows.
