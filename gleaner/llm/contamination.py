@@ -10,7 +10,7 @@ window may hide one: any shingle in common makes them a candidate. Candidates ar
 
 Up to MOST_ITEMS items of MOST_BYTES of text in all go to all tasks as an index, and documents are not shuffled. More items
 are joined: of each distinct text, the shingles that pass a table of the items' minima, and are themselves minima of a
-window, are joined with the minima; candidates meet the two texts. Either way each text is read once for the search.
+window, are joined with the minima; the texts of candidates are read once more to verify them.
 
 An item of more than ``FEW`` shingles is a candidate unless smaller hashes of the text around hide all of its minima, of
 which one is enough. Measured on items of 17, 20, 33, 64 and 200 shingles in four times as many others on either side: of
