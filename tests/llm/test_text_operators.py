@@ -6,6 +6,7 @@ import random
 import re
 import string
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -461,6 +462,71 @@ def test_lines_split_keys():
         assert keys[0] & keys[1]
 
 
+def test_lines_pairs_like_plain():
+    """Pairs of a list as plain loops give them, whether or not its rows' order fits into one word."""
+    rng = np.random.default_rng(11)
+    for low, high in ((0, 50), (0, 10**9), (-(2**63), 2**63 - 1)):
+        size = 400
+        sid = rng.integers(1, 60, size)
+        n = 36 + sid % 12
+        marks = np.bitwise_and.reduce(rng.integers(0, 2**63, (5, 60, 2)))
+        rows = [rng.integers(0, 9, size), sid, rng.integers(low, high, size), rng.integers(0, 5, size), lines.posting_size(n, rng.integers(0, 2, size)), marks[sid, 0], marks[sid, 1]]
+        want = set()
+        for key in range(9):
+            kept = {}
+            for r in sorted((r for r in zip(*(x.tolist() for x in rows), strict=True) if r[0] == key), key=lambda r: (r[2], r[3], r[1])):
+                kept.setdefault(r[1], r)
+            for i, x in enumerate(kept.values()):
+                for y in list(kept.values())[:i]:
+                    (nx, px), (ny, py) = (divmod(r[4], 1 << 32) for r in (x, y))
+                    shared = np.ceil(0.8 / 1.8 * (nx + ny) - 1e-9)
+                    bound = (nx + ny - sum((x[k] ^ y[k]).bit_count() for k in (5, 6))) // 2
+                    if min(nx, ny) >= 0.8 * max(nx, ny) - 1e-9 and min(nx - px, ny - py) >= shared and bound >= shared:
+                        want.add((x[1], y[1], bound * 1000 // max(1, nx + ny - bound)))
+        got = lines.pairs_of([*rows, np.ones(size, np.int64)], 0.8, True).to_pydict()
+        assert want and sorted(want) == sorted(zip(got["a1"], got["b1"], got["bound"], strict=True))
+
+
+def test_lines_read_again(monkeypatch):
+    """To verify lines, just these are split into words."""
+    texts = ["", "Ein Wort\n\n\u0130stanbul, \u00c4pfel! \u00c4pfel\n", None, "\n", "a b c", "x\ny z\nx y z"]
+    wanted = [(1, 0), (1, 2), (4, 0), (5, 1)]
+    held = SimpleNamespace(value=np.zeros(lines.BUCKETS, np.int64))
+    read, split = [], lines.line_words
+    monkeypatch.setattr(lines, "line_words", lambda column: read.extend(column.to_pylist()) or split(column))
+    row = np.arange(10, 16)
+    places = np.sort(lines.line_places(row[[i for i, _ in wanted]], np.array([k for _, k in wanted])))
+    numbers = [[k for i, k in wanted if i == j] for j in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(row), pa.array(numbers, pa.list_(pa.int32()))], ["text", "row", "wanted"])
+    for way in (SimpleNamespace(value=places), None):
+        read.clear()
+        got = pa.Table.from_batches(lines._words_of(held, way)(iter([batch])))
+        assert read == [texts[i].split("\n")[k] for i, k in wanted]
+        whole = next(lines._lines(held, 0.8)(iter([pa.RecordBatch.from_arrays([pa.array(row), pa.array([b""] * len(texts)), pa.array(texts)], ["doc_id", "key", "text"])])))
+        sets = {(i - 10, k): (a, b, n) for i, k, a, b, n in zip(*(whole[c].to_pylist() for c in ("doc_id", "line", "s1", "s2", "n")), strict=True)}
+        assert list(zip(got["s1"].to_pylist(), got["s2"].to_pylist(), map(len, got["words"].to_pylist()), strict=True)) == [sets[x] for x in wanted]
+
+
+@pytest.mark.parametrize("limits", [{"MOST_PLACES": 0}, {"FEW_PLACES": 0}, {"COUNTED": 1}])
+def test_lines_ways(make_docs, monkeypatch, limits):
+    """Whatever rows are counted, and however the lines to verify are found, the same lines go."""
+    for name, value in {"LONG": 4, "SAMPLED": 1, "SMALL": 2, "EARLIEST": 1, **limits}.items():
+        monkeypatch.setattr(lines, name, value)
+    rng = random.Random(5)
+    pool = [rng.sample(WORDS, 12) for _ in range(6)]
+    docs = []
+    for i in [*range(40), None]:
+        own = []
+        for _ in range(rng.randint(1, 8)):
+            words = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            own.append(" ".join(words[: rng.randint(9, 12)]))
+        docs.append((i, "\n".join(own) + "\n"))
+    got = {r["doc_id"]: r["removed"] for r in lines.remove(make_docs(docs)).collect()}
+    assert got == {i: gone for (i, _), gone in zip(docs, plain_lines(docs), strict=True)}
+
+
 def test_lines_edges(make_docs):
     got = lines.remove(make_docs([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 1)]  # rows alike fare alike
