@@ -487,6 +487,20 @@ def test_lines_pairs_like_plain():
         assert want and sorted(want) == sorted(zip(got["a1"], got["b1"], got["bound"], strict=True))
 
 
+def test_lines_marks():
+    """Marks never rule out what two sets share, and tell sets apart that share hundreds of words."""
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, int(k), dtype=np.uint64) for k in rng.integers(1, 60, 40)]
+    shared = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets += [np.concatenate((shared, rng.integers(0, 2**63, 60, dtype=np.uint64))) for _ in range(2)] + [np.concatenate((sets[0], x)) for x in sets[1:9]]
+    marks = lines.set_marks(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), 7).tolist()
+    differ = [[sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a, b, strict=True)) for b in marks] for a in marks]
+    for a, row in zip(sets, differ, strict=True):
+        for b, d in zip(sets, row, strict=True):
+            assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - d) // 2
+    assert differ[40][41] > 30
+
+
 def test_lines_read_again(monkeypatch):
     """To verify lines, just these are split into words."""
     texts = ["", "Ein Wort\n\n\u0130stanbul, \u00c4pfel! \u00c4pfel\n", None, "\n", "a b c", "x\ny z\nx y z"]
