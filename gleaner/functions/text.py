@@ -62,8 +62,10 @@ POSTINGS = "doc_id bigint, term string, tf int, positions array<int>, length int
 
 _TOKEN_BYTE = np.zeros(256, dtype=bool)
 _TOKEN_BYTE[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
-#: Bytes of text that are taken together.
-PIECE = 1 << 23
+#: Bytes of text that are taken together: a worker's memory follows them, whatever the size of the input.
+PIECE = 1 << 21
+#: Bytes of an Arrow batch that comes to a worker, which holds two of them while it reads.
+BATCH = 1 << 23
 
 
 def _lower(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +113,22 @@ def _of_batch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     )
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows with some PIECE bytes of ``column`` at a time; a row of more is a piece of its own."""
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(batch):
             upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE)))
-            piece = batch.slice(at, upto - at)
-            yield _of_batch(piece.column(0), piece.column(1))
+            yield batch.slice(at, upto - at)
             at = upto
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "text"):
+        yield _of_batch(piece.column("doc_id"), piece.column("text"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in fewer splits than there are cores: it is then at most so many splits large. Others
     stay as they are. Only the plan is made to find out."""
@@ -129,10 +136,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, which comes to Python in batches of some BATCH bytes: by rows alone, a batch is as large as its texts are long.
+    Only the session can say so; a smaller bound that it has stays."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+    return df
+
+
 def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term, tf, positions, length), one row for each term of each document; length is the document's.
 
     A document's tokens lie in one row, so its postings are made there, a batch of documents at a time, each distinct token of
     a batch stemmed once: nothing is shuffled, where exploding tokens, joining stems and grouping again would move every token
     of the corpus twice."""
-    return spread(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_postings, POSTINGS)
+    return in_small_batches(spread(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text")))).mapInArrow(_postings, POSTINGS)

@@ -1,4 +1,5 @@
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions import porter, text
@@ -58,3 +59,24 @@ def test_postings(spark):
 def test_combined_text(spark):
     rows = spark.createDataFrame([("t", "x"), ("", "x"), (None, None)], "a string, b string")
     assert [r[0] for r in rows.select(text.combined_text(F.col("a"), F.col("b"))).collect()] == ["t x", "x", ""]
+
+
+def test_pieces_bound_what_is_taken_at_once(spark):
+    texts = ["word " * 100_000, None, "", "x" * (text.PIECE * 2), *["more words " * 20_000] * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = list(text.pieces(iter([batch, batch.slice(0, 0)]), "text"))
+    assert [i for b in got for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(len(b) == 1 or sum(len(t or "") for t in b.column("text").to_pylist()) <= text.PIECE for b in got)
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "64m")
+    docs = spark.range(400, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 40000) AS text")
+    text.postings(docs)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()
+    assert max(r["n"] for r in sizes) <= text.BATCH + 300_000
+    spark.conf.set(name, "1m")
+    text.postings(docs)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
