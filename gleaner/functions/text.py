@@ -37,6 +37,11 @@ def is_stopword(token: Column) -> Column:
     return token.isin(*STOPWORDS)
 
 
+def length(text: Column) -> Column:
+    """The number of tokens without stopwords."""
+    return F.coalesce(F.size(F.filter(tokens(text), lambda t: ~is_stopword(t))), F.lit(0)).cast("bigint")
+
+
 def combined_text(title: Column, text: Column) -> Column:
     """Title and text, as they are indexed."""
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws(" ", title, text)).otherwise(F.coalesce(text, F.lit("")))
@@ -152,3 +157,14 @@ def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     a batch stemmed once: nothing is shuffled, where exploding tokens, joining stems and grouping again would move every token
     of the corpus twice."""
     return in_small_batches(spread(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text")))).mapInArrow(_postings, POSTINGS)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "text"):
+        found = _of_batch(pa.nulls(len(piece), pa.int64()), piece.column("text")).column("term").value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["term", "df"])
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """docs (text) -> (term, df): in how many documents a term is, as partial sums."""
+    return in_small_batches(spread(docs.select(F.col("text")))).mapInArrow(_term_counts, "term string, df bigint")

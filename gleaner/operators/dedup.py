@@ -18,11 +18,11 @@ def first_seen(docs: DataFrame, order: str, text: str = "text", seen: DataFrame
     """The rows of ``docs`` with a text not met before, in the order of ``order``; ``seen`` (digest) holds earlier ones.
 
     The first of each text is an aggregate with partial sums, so that a text of very many copies reaches its task as one
-    row from each task."""
+    row from each task. Texts met earlier leave it before the rows, with their texts, are joined."""
     rows = docs.withColumn("digest", digest(F.col(text)))
     first = rows.groupBy("digest").agg(F.min(order).alias(order))
-    kept = rows.join(first, ["digest", order], "left_semi")
-    return kept if seen is None else kept.join(seen.select("digest"), "digest", "left_anti")
+    first = first if seen is None else first.join(seen.select("digest"), "digest", "left_anti")
+    return rows.join(first, ["digest", order], "left_semi")
 
 
 def dedup_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -42,11 +42,21 @@ def vocabulary_size(posted: DataFrame) -> DataFrame:
 def assign_ids(docs: DataFrame, order: str, start: int = 0, id_column: str = "doc_id") -> DataFrame:
     """Ids start + 1, start + 2, ... in the order of ``order``.
 
-    A range partitioning gives each partition its share of the order; ranks within partitions and the partitions' first
-    numbers make the ids, so that no task sees all rows."""
-    dealt, starts = in_ranges(docs, order)
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return ranked.join(F.broadcast(starts), "_part").withColumn(id_column, F.col("_start") + F.col("_rank") + start).drop("_part", "_rank", "_start")
+    A range partitioning gives each partition its share of the order; places within partitions and the partitions' first
+    numbers make the ids, so that no task sees all rows. The rows are sorted and numbered where the ranges put them, and
+    stored with their places: they are shuffled once."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the partition, and below it 33 bits of the place in it
+    dealt = stored(docs.repartitionByRange(n, F.col(order)).sortWithinPartitions(order).withColumn("_at", at), "ranges")
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    starts = _starts(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")))
+    return dealt.join(F.broadcast(starts), "_part").withColumn(id_column, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start + 1).drop("_part", "_at", "_start")
+
+
+def _starts(sums: DataFrame) -> DataFrame:
+    """sums (_part, _n), a row for each partition -> (_part, _start): what lies before each."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
 
 
 def in_ranges(df: DataFrame, order: str, amount: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +67,7 @@ def in_ranges(df: DataFrame, order: str, amount: Column | None = None) -> tuple[
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(df.repartitionByRange(n, F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("_part").agg(F.sum(F.lit(1) if amount is None else amount).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt, sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return dealt, _starts(sums)
 
 
 @dataclass(frozen=True)
@@ -73,12 +82,13 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
         """docs: doc_id, url, title, text; absent columns are empty. keep: stores the postings and gives them back, so that
-        lengths and searches do not analyse the texts again."""
+        lengths and searches do not analyse the texts again. A length that docs have is taken; else the postings' sums are
+        joined, for which the texts are shuffled."""
         have = set(docs.columns)
         docs = docs.withColumns({c: F.lit("") for c in ("url", "title") if c not in have})
         posted = keep(postings(docs.select("doc_id", combined_text(F.col("title"), F.col("text")).alias("text"))))
-        lengths = doc_lengths(docs, posted)
-        return cls(docs.select("doc_id", "url", "title", "text").join(lengths, "doc_id"), posted)
+        docs = docs if "length" in have else docs.join(doc_lengths(docs, posted), "doc_id")
+        return cls(docs.select("doc_id", "url", "title", "text", "length"), posted)
 
     @property
     def terms(self) -> DataFrame:
@@ -94,7 +104,7 @@ class Index:
 
     def restore(self, docs: DataFrame) -> Index:
         """docs (doc_id, url, title, text) under the ids that they had; what the index holds under these ids goes."""
-        back, gone = Index.build(docs), docs.select("doc_id")
+        back, gone = Index.build(docs.drop("length")), docs.select("doc_id")
         return Index(*(own.join(gone, "doc_id", "left_anti").select(new.columns) for own, new in ((self.docs, back.docs), (self.postings, back.postings)))).add(back)
 
 

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import combined_text, postings
+from gleaner.functions.text import combined_text, length, term_counts
 from gleaner.operators.dedup import digest
 from gleaner.operators.index import Index, assign_ids
 
@@ -64,15 +64,15 @@ class Store:
         version = now["version"] + 1
         name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
         at = {kind: f"{self.path}/{kind}/segment={name}" for kind in ("docs", "postings", "terms", "gone")}
-        new.docs.select(*_names(DOCS)).write.parquet(at["docs"])
-        new.postings.select(*_names(POSTINGS)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(at["postings"])
+        new.docs.select(*_names(DOCS)).write.option("compression", "zstd").parquet(at["docs"])
+        new.postings.select(*_names(POSTINGS)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(at["postings"])
         own = self.spark.read.schema(POSTINGS).parquet(at["postings"])
         terms = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if lost is not None:
             terms = terms.unionByName(lost.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at["terms"])
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(at["terms"])
         if gone is not None:
-            gone.select("doc_id").write.parquet(at["gone"])
+            gone.select("doc_id").write.option("compression", "zstd").parquet(at["gone"])
         added = self.spark.read.schema(DOCS).parquet(at["docs"]).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("last")).first()
         base = now if keep else _EMPTY
         row = {
@@ -86,6 +86,11 @@ class Store:
         docs = new.docs.withColumn("content_hash", digest(F.col("text")))
         return Index(docs if "fetched_at" in docs.columns else docs.withColumn("fetched_at", F.current_timestamp()), new.postings)
 
+    @staticmethod
+    def _measured(docs: DataFrame) -> DataFrame:
+        """docs (title, text) with their lengths, counted beside the texts, which need no shuffle for it."""
+        return docs.withColumn("length", length(combined_text(F.col("title"), F.col("text"))))
+
     def save(self, index: Index) -> None:
         """``index`` in place of all."""
         self._write(self._stamped(index), self.manifest(), [])
@@ -119,7 +124,7 @@ class Store:
         """docs (url, title, text): new ids after those of the store, whatever their URLs; the number of documents. batch:
         stream and number of the batch that they are; it becomes visible with them."""
         now = self.manifest()
-        new = Index.build(stored(assign_ids(docs, order, now["last_id"]), "docs"), partial(stored, label="postings"))
+        new = Index.build(assign_ids(self._measured(docs), order, now["last_id"]), partial(stored, label="postings"))
         self._write(self._stamped(new), now, now["segments"], batch=batch)
         return self.manifest()["n_docs"] - now["n_docs"]
 
@@ -128,12 +133,14 @@ class Store:
         frequencies go. The last of several rows of a URL counts."""
         now, old = self.manifest(), self.load()
         last = stored(docs.groupBy("url").agg(F.max_by(F.struct("title", "text", order), order).alias("d")).select("url", "d.*"), "upsert")
-        known = stored(old.docs.select("url", "doc_id", "length", F.col("title").alias("old_title"), F.col("text").alias("old_text")).join(last, "url"), "upsert-known")
-        fresh = assign_ids(last.join(known.select("url"), "url", "left_anti"), order, now["last_id"])
-        new = known.select("doc_id", "url", "title", "text").unionByName(fresh.select("doc_id", "url", "title", "text"))
-        new = Index.build(stored(new, "docs"), partial(stored, label="postings"))
+        # ids without texts first; the new texts then move once, to their ids
+        known = stored(old.docs.select("url", "doc_id", "length").join(last.select("url"), "url", "left_semi"), "upsert-known")
+        fresh = assign_ids(last.select("url", order).join(known.select("url"), "url", "left_anti"), order, now["last_id"])
+        ids = known.select(F.col("url").alias("_url"), "doc_id").unionByName(fresh.select(F.col("url").alias("_url"), "doc_id"))
+        new = Index.build(stored(self._measured(last.join(ids, F.col("url").eqNullSafe(F.col("_url")))).select("doc_id", "url", "title", "text", "length"), "docs"), partial(stored, label="postings"))
         taken = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-        lost = postings(known.select("doc_id", combined_text(F.col("old_title"), F.col("old_text")).alias("text"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        replaced = old.docs.join(known.select("doc_id"), "doc_id", "left_semi")
+        lost = term_counts(replaced.select(combined_text(F.col("title"), F.col("text")).alias("text"))).groupBy("term").agg(F.sum("df").alias("df"))
         self._write(self._stamped(new), now, now["segments"], known.select("doc_id"), (taken["n"], taken["length"]), lost)
 
     def clear(self) -> None:

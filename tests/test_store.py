@@ -7,7 +7,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from gleaner.api import Service, server
-from gleaner.operators.index import Index
+from gleaner.operators.dedup import first_seen
+from gleaner.operators.index import Index, assign_ids
 from gleaner.sources.http import Answer, Disallowed, FetchError, fetch, fetch_urls, fetch_with_retry
 from gleaner.sources.settings import Settings, read_dotenv, split_csv
 from gleaner.sources.store import Store
@@ -173,3 +174,20 @@ def test_service(spark, tmp_path):
     assert "gleaner_pages_fetched_total 5" in said and 'gleaner_query_latency_seconds_bucket{le="+Inf"} 1' in said
     assert service.search("", None)[0] == service.search("x", "many")[0] == service.search("x", 0)[0] == 400
     http.shutdown()
+
+
+def test_writes_move_texts_less(spark, tmp_path):
+    rows = [(3, "u3", "", "the same"), (1, "u1", "Of", "alpha"), (2, None, "", "no url"), (4, "u4", None, None), (5, "u1", "", "omega the psi")]
+    docs = spark.createDataFrame(rows, ROWS)
+    given = assign_ids(docs, "seq", 7)
+    assert {r["seq"]: r["doc_id"] for r in given.collect()} == {i: i + 7 for i in range(1, 6)}
+    assert "row_number" not in given._jdf.queryExecution().toString()  # a second shuffle, by range
+    seen = spark.createDataFrame([("x",)], "digest string")
+    plan = first_seen(docs, "seq", seen=seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan.splitlines()[1]  # rows with texts are joined once, last of all
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(docs.where("seq IN (3, 1)"), "seq")
+    store.upsert(docs, "seq")
+    now = store.load()
+    assert {r["url"]: (r["doc_id"], r["length"], r["text"]) for r in now.docs.collect()} == {"u1": (1, 2, "omega the psi"), "u3": (2, 0, "the same"), None: (3, 1, "no url"), "u4": (4, 0, None)}
+    assert {r["term"]: r["df"] for r in now.terms.collect()} == {"omega": 1, "psi": 1, "url": 1}
